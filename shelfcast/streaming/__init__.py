@@ -1,0 +1,3 @@
+"""Holds no operators: every operator of this engine is defined on complete series, and none
+reads an incremental source. Row-wise operators (coercion, order policy, calendar features) can be
+applied to a streaming DataFrame unchanged."""
