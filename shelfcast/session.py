@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are written for. Partition counts stay the cluster's own.
@@ -29,6 +30,13 @@ def build_session(app_name: str = "shelfcast", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def ship_by_value(*modules) -> None:
+    """Pickle functions of these modules into the tasks that use them, so that executors need no
+    copy of the package."""
+    for module in modules:
+        cloudpickle.register_pickle_by_value(module)
+
+
 def series_partitions(spark: SparkSession) -> int:
     """Partition count for shuffles by series key.
 
