@@ -15,6 +15,7 @@ from shelfcast.operators.intervals import add_uncertainty, future_rows, normalis
 from shelfcast.operators.policy import order_policy
 from shelfcast.operators.series import series_table, split_series
 from shelfcast.schema import KEYS
+from shelfcast.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -31,15 +32,20 @@ def clean_and_describe(sales: DataFrame, **options) -> DataFrame:
     return add_time_features(clean_sales(sales, **options))
 
 
-def run_forecast(sales: DataFrame, model, periods: int, keys=KEYS, **clean_options) -> ForecastRun:
+def run_forecast(
+    sales: DataFrame, model, periods: int, keys=KEYS, materialise: bool = False, **clean_options
+) -> ForecastRun:
     """Clean, hold out the last days, fit and score on the rest, refit on everything, predict.
 
-    ``model`` is a name or a function that makes an unfitted Forecaster. The hold-out is cut from the
-    series table, so scoring costs no further shuffle. A series of one row is forecast without
-    metrics.
+    ``model`` is a name, a Forecaster class, or a pair of a name and a function that makes one. The
+    hold-out is cut from the series table, so scoring costs no further shuffle. A series of one row
+    is forecast without metrics. ``materialise`` writes the series table once (a checkpoint) for
+    callers who use both results.
     """
     name, make = _model_maker(model)
     series = series_table(clean_sales(sales, keys=keys, **clean_options), keys, make().extras)
+    if materialise:
+        series = cut_lineage(series)
     forecast = make().fit_series(series, keys).predict(periods)
     canonical = normalise_forecast(
         forecast.where(F.col("error").isNull()), keep=[*keys, "is_future"]
@@ -51,15 +57,17 @@ def champion_forecast(sales: DataFrame, models, periods: int, metric="rmse", key
     """Future days of every series from the model that scored best on its hold-out.
 
     The winner of each series is known before the final fits, so each model is refitted only on the
-    series it won. Series without a hold-out (one row) take the last model of the list.
+    series it won. Series without a hold-out (one row) take the last model of the list. The series
+    table and the winners are each used several times and checkpointed, so that cleaning and scoring
+    run once.
     """
     makers = dict(_model_maker(m) for m in models)
     extras = tuple(dict.fromkeys(e for make in makers.values() for e in make().extras))
-    series = series_table(clean_sales(sales, keys=keys, **clean_options), keys, extras)
+    series = cut_lineage(series_table(clean_sales(sales, keys=keys, **clean_options), keys, extras))
     metrics = _hold_out_metrics(series, makers, periods, keys)
     winners = best_model(metrics, metric, keys).select(*keys, "model")
-    chosen = series.join(winners, [*keys], "left").withColumn(
-        "model", F.coalesce("model", F.lit(list(makers)[-1]))
+    chosen = cut_lineage(
+        series.join(winners, [*keys], "left").withColumn("model", F.coalesce("model", F.lit(list(makers)[-1])))
     )
     forecasts = None
     for name, make in makers.items():
