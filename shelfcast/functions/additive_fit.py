@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 
 TREND_SCALE = 5.0  # prior scale of the initial slope and level
-MAX_ROUNDS = 15
-TOLERANCE = 1e-4
+MAX_ROUNDS = 12
+TOLERANCE = 1e-3
+NOISE_FLOOR = 1e-10
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,23 @@ def fourier_columns(day: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(day), 2 * order)
 
 
+_tables: dict[tuple, np.ndarray] = {}
+TABLE_STEP = 512
+MAX_TABLES = 64
+
+
+def seasonal_columns(first_day: int, steps: np.ndarray, period: float, order: int) -> np.ndarray:
+    """Fourier columns of the days ``first_day + steps``, from a table kept between series: most
+    series, and all cutoffs of one series, start on the same day."""
+    size = -(-(int(steps[-1]) + 1) // TABLE_STEP) * TABLE_STEP
+    key = (first_day, size, period, order)
+    if key not in _tables:
+        if len(_tables) >= MAX_TABLES:
+            _tables.clear()
+        _tables[key] = fourier_columns(first_day + np.arange(size, dtype=float), period, order)
+    return _tables[key][steps]
+
+
 def changepoints(steps: np.ndarray, options: TrendOptions) -> np.ndarray:
     """Steps at which the slope may change: evenly spaced over the first part of the history."""
     early = int(np.floor(len(steps) * options.changepoint_range))
@@ -48,37 +66,44 @@ def fit_additive(steps, values, columns, prior_scales, multiplicative, options:
     y = values / scale
     knots = changepoints(steps, options)
     knot_t = (knots - steps[0]) / span
-    trend_columns = np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - knot_t, 0)])
-    n_trend = trend_columns.shape[1]
+    n_trend = 2 + len(knots)
+    design = np.empty((len(y), n_trend + columns.shape[1]))
+    design[:, 0] = 1.0
+    design[:, 1] = t
+    np.maximum(t[:, None] - knot_t, 0, out=design[:, 2:n_trend])
+    design[:, n_trend:] = columns
 
-    plain = options.growth == "linear" and not multiplicative.any()
     cap = (options.cap or 0.0) / scale
-    theta = np.zeros(n_trend + columns.shape[1])
+    theta = np.zeros(design.shape[1])
+    plain = options.growth == "linear" and not multiplicative.any()
     if options.growth == "logistic":
         share = np.clip(y / cap, 0.01, 0.99)
         theta[:2] = np.polyfit(t, np.log(share / (1 - share)), 1)[::-1]
     elif not plain:
-        theta[:2] = (y.mean(), 0.0)
-
-    noise = max(float(y.var()), 1e-8)
-    jacobian = gram = target = None
-    for _ in range(MAX_ROUNDS):
-        if gram is None or not plain:
-            fitted, jacobian = _linearise(theta, trend_columns, columns, multiplicative, options.growth, cap)
-            gram = jacobian.T @ jacobian
-            target = jacobian.T @ (y - fitted + jacobian @ theta)
-        changes = np.maximum(np.abs(theta[2:n_trend]), 1e-5)
-        precision = np.concatenate(
-            [np.full(2, TREND_SCALE**-2.0), 1 / (options.changepoint_prior_scale * changes), prior_scales**-2.0]
-        )
-        previous, theta = theta, np.linalg.solve(gram + noise * np.diag(precision), target)
-        fitted = jacobian @ theta if plain else _linearise(
-            theta, trend_columns, columns, multiplicative, options.growth, cap
-        )[0]
-        noise = max(float(np.mean((y - fitted) ** 2)), 1e-12)
+        theta[0] = y.mean()
+
+    precision = np.empty(len(theta))
+    precision[:2] = TREND_SCALE**-2.0
+    precision[n_trend:] = prior_scales**-2.0
+    precision[2:n_trend] = options.changepoint_prior_scale**-2.0
+    noise = max(float(y.var()), NOISE_FLOOR)
+    jacobian, response = design, y
+    for round_ in range(MAX_ROUNDS):
+        if not plain:
+            fitted, jacobian = _linearise(theta, design, n_trend, multiplicative, options.growth, cap)
+            response = y - fitted + jacobian @ theta
+        if round_ == 0 or not plain:
+            gram, target, power = jacobian.T @ jacobian, jacobian.T @ response, response @ response
+        penalised = gram.copy()
+        penalised.flat[:: len(theta) + 1] += noise * precision
+        previous, theta = theta, np.linalg.solve(penalised, target)
+        noise = max(float(power - 2 * theta @ target + theta @ gram @ theta) / len(y), NOISE_FLOOR)
+        # The Laplace prior as a normal one of matching slope at the current change.
+        precision[2:n_trend] = 1 / (options.changepoint_prior_scale * np.maximum(np.abs(theta[2:n_trend]), 1e-5))
         if np.max(np.abs(theta - previous)) < TOLERANCE:
             break
 
+    fitted = design @ theta if plain else _linearise(theta, design, n_trend, multiplicative, options.growth, cap)[0]
     changes = theta[2:n_trend]
     return {
         "scale": scale,
@@ -88,23 +113,24 @@ def fit_additive(steps, values, columns, prior_scales, multiplicative, options:
         "slope": theta[1] + np.concatenate([[0.0], np.cumsum(changes)]),
         "offset": theta[0] - np.concatenate([[0.0], np.cumsum(changes * knot_t)]),
         "beta": theta[n_trend:],
-        "sigma": float(np.sqrt(noise)),
+        "sigma": float(np.sqrt(np.mean((y - fitted) ** 2))),
         # Variance of a future slope change times their rate per unit of scaled time.
         "drift": float(2 * np.mean(np.abs(changes)) ** 2 * len(changes)) if len(changes) else 0.0,
     }
 
 
-def _linearise(theta, trend_columns, columns, multiplicative, growth, cap):
+def _linearise(theta, design, n_trend, multiplicative, growth, cap):
     """Model values and their derivatives at ``theta``."""
-    n_trend = trend_columns.shape[1]
-    line = trend_columns @ theta[:n_trend]
+    line = design[:, :n_trend] @ theta[:n_trend]
     if growth == "logistic":
         share = 1 / (1 + np.exp(-line))
         trend, inner = cap * share, cap * share * (1 - share)
     else:
         trend, inner = line, np.ones_like(line)
-    effect = theta[n_trend:]
+    columns, effect = design[:, n_trend:], theta[n_trend:]
     factor = 1 + columns @ np.where(multiplicative, effect, 0)
     fitted = trend * factor + columns @ np.where(multiplicative, 0, effect)
-    by_effect = columns * np.where(multiplicative[None, :], trend[:, None], 1.0)
-    return fitted, np.hstack([trend_columns * (inner * factor)[:, None], by_effect])
+    jacobian = design.copy()
+    jacobian[:, :n_trend] *= (inner * factor)[:, None]
+    jacobian[:, n_trend:] *= np.where(multiplicative[None, :], trend[:, None], 1.0)
+    return fitted, jacobian

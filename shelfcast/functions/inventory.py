@@ -92,4 +92,6 @@ def stocked_out(stock_level: Column) -> Column:
 
 
 def promotional_price(price: Column, discount: Column) -> Column:
-    return F.round(price * (1 - discount), 2)
+    """Discounted price to two places, in decimal arithmetic so that half cents round up."""
+    exact = price.cast("decimal(18,6)") * (1 - discount.cast("decimal(9,6)"))
+    return F.round(exact, 2).cast("double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions import additive_fit
-from shelfcast.functions.additive_fit import TrendOptions, fit_additive, fourier_columns
+from shelfcast.functions.additive_fit import TrendOptions, fit_additive, seasonal_columns
 from shelfcast.operators.forecasters import per_series
 from shelfcast.operators.forecasters.base import Forecaster
 from shelfcast.operators.forecasters.per_series import per_series_udf, require_finite
@@ -135,7 +135,6 @@ class DecomposableForecaster(Forecaster):
 
     def _with_fit(self, series):
         fit = self._fit_udf()("start", "steps", "values", *self.extras)
-        # One evaluation, however many of its fields are used later.
         return series.withColumn("fit", fit).withColumn("error", F.col("fit.error"))
 
     def _read_holidays(self):
@@ -171,10 +170,9 @@ class DecomposableForecaster(Forecaster):
         def fit(start, steps, values, *extras):
             require_finite(values, *extras)
             first = (start - date(1970, 1, 1)).days
-            day = (steps + first).astype(float)
             columns = []
             for period, order, min_span in seasonalities:
-                block = fourier_columns(day, period, order)
+                block = seasonal_columns(first, steps, period, order)
                 columns.append(block if steps[-1] - steps[0] >= min_span else 0 * block)
             means, deviations = [], []
             for x, standardize in zip(extras, standardized):
@@ -343,13 +341,15 @@ class DecomposableForecaster(Forecaster):
         last = F.element_at("steps", -1)
         newest = last - F.lit(horizon)
         cutoffs = F.when(newest >= initial, F.sequence(newest, F.lit(initial), F.lit(-period)))
-        within = lambda s: (s > F.col("cutoff_step")) & (s <= F.col("cutoff_step") + horizon)
         arrays = ("steps", "values", *self.extras)
-        origins = self._series.withColumn("cutoff_step", F.explode(cutoffs)).withColumn(
-            "_held_out", F.filter(F.arrays_zip(*arrays), lambda d: within(d["steps"]))
-        )
+        origins = self._series.withColumn("cutoff_step", F.explode(cutoffs))
         n_train = F.size(F.filter("steps", lambda s: s <= F.col("cutoff_step")))
-        train = origins.withColumns({a: F.slice(F.col(a), F.lit(1), n_train) for a in arrays})
+        n_known = F.size(F.filter("steps", lambda s: s <= F.col("cutoff_step") + horizon))
+        origins = origins.withColumns({"_n_train": n_train, "_n_test": n_known - n_train})
+        held_out = F.arrays_zip(*[F.slice(a, F.col("_n_train") + 1, F.col("_n_test")).alias(a) for a in arrays])
+        train = origins.withColumn("_held_out", held_out).withColumns(
+            {a: F.slice(a, F.lit(1), F.col("_n_train")) for a in arrays}
+        )
         fitted = self._with_fit(train).where(F.col("error").isNull())
         rows = fitted.select(
             *self.keys,

@@ -42,7 +42,8 @@ def per_series_udf(function: Callable[..., dict], result: dict[str, pa.DataType]
             arrays = [pa.array([row.get(name) for row in rows], type=kind) for name, kind in fields.items()]
             yield pa.StructArray.from_arrays(arrays, fields=list(struct))
 
-    return run
+    # Evaluated once: a deterministic function would be repeated for filters on its result.
+    return run.asNondeterministic()
 
 
 def require_finite(*histories) -> None:

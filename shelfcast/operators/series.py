@@ -26,7 +26,7 @@ def series_table(df: DataFrame, keys=KEYS, extras=()) -> DataFrame:
         start.alias("start"),
         F.transform("days", lambda d: F.datediff(d["date"], F.col("days")[0]["date"])).alias("steps"),
         F.col("days.sales").alias("values"),
-        *[F.transform("days", lambda d, c=c: d[c].cast("double")).alias(c) for c in extras],
+        *[F.col(f"days.{c}").cast("array<double>").alias(c) for c in extras],
     )
 
 

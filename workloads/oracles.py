@@ -53,7 +53,8 @@ RECENT = """,
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY store, item ORDER BY date DESC) AS back FROM clean),
 recent AS (
-  SELECT store, item, max(date) AS last_date, avg(sales) AS level, 2 * stddev_pop(sales) AS spread
+  SELECT store, item, max(date) AS last_date, round(avg(sales), 9) AS level,
+         round(2 * stddev_pop(sales), 9) AS spread
   FROM numbered WHERE back <= 28 GROUP BY store, item)"""
 
 # Hold-out of each series, and the two compared models fitted before it.
@@ -67,7 +68,7 @@ predictions AS (
   SELECT store, item, 'naive' AS model, arg_max(sales, date) AS predicted
   FROM flagged WHERE back > test_rows GROUP BY store, item
   UNION ALL
-  SELECT store, item, 'recent_mean', avg(sales)
+  SELECT store, item, 'recent_mean', round(avg(sales), 9)
   FROM flagged WHERE back > test_rows AND back <= test_rows + 28 GROUP BY store, item),
 pairs AS (
   SELECT store, item, model, sales AS actual, predicted
@@ -186,7 +187,7 @@ ORACLES = {
         FROM lines WHERE date IS NOT NULL GROUP BY ALL""",
     "stock_columns": """
         SELECT l_orderkey, l_linenumber, CAST(25 - l_quantity AS INTEGER) AS stock_level, l_discount AS discount_pct,
-               round(l_extendedprice * (1 - l_discount), 2) AS price, 25 - l_quantity <= 0 AS stockout
+               CAST(round(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))), 2) AS DOUBLE) AS price, 25 - l_quantity <= 0 AS stockout
         FROM lineitem""",
     "clean_series": f"""
         WITH {SALES}{CLEAN}

@@ -60,9 +60,12 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def recent_mean(history: pd.DataFrame, periods: int) -> pd.DataFrame:
-    """A user-defined model: mean of the last four weeks, with a two-deviation band."""
+    """A user-defined model: mean of the last four weeks, with a two-deviation band.
+
+    Rounded, because whether a constant history has spread 0 or 1e-15 decides about a unit of stock.
+    """
     recent = history["sales"].tail(RECENT_DAYS)
-    level, spread = recent.mean(), 2 * recent.std(ddof=0)
+    level, spread = round(recent.mean(), 9), round(2 * recent.std(ddof=0), 9)
     return pd.DataFrame({"forecast": [level] * periods, "ci_lower": level - spread, "ci_upper": level + spread})
 
 
