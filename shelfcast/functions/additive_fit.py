@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 
 TREND_SCALE = 5.0  # prior scale of the initial slope and level
-MAX_ROUNDS = 12
-TOLERANCE = 1e-3
+MAX_ROUNDS = 10
+TOLERANCE = 5e-3
 NOISE_FLOOR = 1e-10
 
 
@@ -46,7 +46,8 @@ def seasonal_columns(first_day: int, steps: np.ndarray, period: float, order: in
         if len(_tables) >= MAX_TABLES:
             _tables.clear()
         _tables[key] = fourier_columns(first_day + np.arange(size, dtype=float), period, order)
-    return _tables[key][steps]
+    table = _tables[key]
+    return table[: len(steps)] if steps[-1] + 1 == len(steps) else table[steps]
 
 
 def changepoints(steps: np.ndarray, options: TrendOptions) -> np.ndarray:

@@ -44,8 +44,9 @@ def forecast_metrics(pairs: DataFrame, by=(*KEYS, "model")) -> DataFrame:
 
 
 def rank_models(metrics: DataFrame, keys=KEYS) -> DataFrame:
-    """Adds ``rank`` by RMSE within each series, nulls last, ties by model name."""
-    order = Window.partitionBy(*keys).orderBy(_finite("rmse").asc_nulls_last(), "model")
+    """Adds ``rank`` by RMSE within each series (overall with empty ``keys``), nulls last, ties by
+    model name."""
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_finite("rmse").asc_nulls_last(), "model")
     return metrics.withColumn("rank", F.row_number().over(order))
 
 

@@ -97,6 +97,13 @@ CAST(ceil({demand} * {lead}) + {stock} AS BIGINT) AS reorder_point,
 CAST(ceil(({eoq} + {stock}) / {batch}) * {batch} AS BIGINT) AS total_order_quantity"""
 
 
+# Normal quantiles of the service levels in the data.
+QUANTILES = """
+(0.045, -1.6953977102721358), (0.135, -1.1030625561995975), (0.225, -0.7554150263604693),
+(0.315, -0.4817268495847302), (0.405, -0.24042603114230793), (0.495, -0.012533469508069278),
+(0.585, 0.2147015680017444), (0.675, 0.4537621901698796), (0.765, 0.7224790519280627),
+(0.855, 1.058121617684777), (0.945, 1.5981931399228169)"""
+
 ITEM_DEMAND = """
 per_day AS (
   SELECT l_partkey AS item_id, CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS units
@@ -326,6 +333,16 @@ ORACLES = {
                round(q / 2 * 2.0::DOUBLE, 6) AS curve_holding_cost,
                round(annual_demand / q * 50.0::DOUBLE + q / 2 * 2.0::DOUBLE, 6) AS curve_total_cost
         FROM priced""",
+    "service_levels": """
+        WITH quantiles AS (
+          SELECT CAST(level AS DOUBLE) AS service_level, CAST(z AS DOUBLE) AS z
+          FROM (VALUES QUANTILES) v(level, z)),
+        levels AS (SELECT round((l_discount + 0.005::DOUBLE) * 9, 4) AS service_level FROM lineitem)
+        SELECT service_level, count(*) AS n, round(any_value(z), 6) AS z
+        FROM levels LEFT JOIN quantiles USING (service_level)
+        WHERE service_level > 0 AND service_level < 1 GROUP BY service_level""".replace(
+        "QUANTILES", QUANTILES
+    ),
     "supplier_replenishment": f"""
         WITH {SUPPLIER_SALES}{CLEAN}{LAST}{AHEAD},
         plan AS (SELECT store, last_value, {policy("last_value", "50.0", "0.5", "7")} FROM last_rows CROSS JOIN steps)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from shelfcast.functions.inventory import normal_quantile
 from shelfcast.operators.abc import class_counts, class_values, classify_items
 from shelfcast.operators.clean import clean_sales, outlier_fence
-from shelfcast.operators.evaluate import best_model, metrics_by_horizon
+from shelfcast.operators.evaluate import best_model, metrics_by_horizon, rank_models
 from shelfcast.operators.features import add_moving_averages, add_stock_columns, add_time_features
 from shelfcast.operators.forecasters import (
     DecomposableForecaster,
@@ -234,19 +234,20 @@ def _compared(spark, sf_dir, overall=False):
     registry.add_model("naive", NaiveForecaster())
     registry.add_model("recent_mean", recent_mean_model())
     registry.train_all(flagged.where(~F.col("is_test")))
-    return registry.compare_models(flagged.where("is_test"), HORIZON, overall=overall)
+    metrics = registry.compare_models(flagged.where("is_test"), HORIZON, overall=overall).drop("rank")
+    return comparable(metrics)  # models that differ in the last bits only count as tied
 
 
 def model_rank(spark, sf_dir):
-    return _compared(spark, sf_dir)
+    return rank_models(_compared(spark, sf_dir))
 
 
 def model_rank_overall(spark, sf_dir):
-    return _compared(spark, sf_dir, overall=True)
+    return rank_models(_compared(spark, sf_dir, overall=True), keys=[])
 
 
 def best_models(spark, sf_dir):
-    return best_model(_compared(spark, sf_dir).drop("rank"), "mae").select("store", "item", "model", "mae")
+    return best_model(_compared(spark, sf_dir), "mae").select("store", "item", "model", "mae")
 
 
 def decomposable_forecast(spark, sf_dir):
