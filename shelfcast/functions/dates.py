@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,5 +29,30 @@ def following_days(last: Column, periods: int) -> Column:
 
 
 def parse_date(value: Column, formats) -> Column:
-    """First pattern that parses gives the date; null when none does."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats]).cast("date")
+    """First pattern that parses gives the date; null when none does.
+
+    A pattern is tried only on text of its shape: a failed parse costs far more than a match.
+    """
+    attempts = []
+    for pattern in formats:
+        parsed = F.try_to_timestamp(value, F.lit(pattern))
+        shape = _shape(pattern)
+        attempts.append(F.when(value.rlike(shape), parsed) if shape else parsed)
+    return F.coalesce(*attempts).cast("date")
+
+
+def _shape(pattern: str) -> str | None:
+    """Regular expression of the texts a datetime pattern can match; None for unusual patterns."""
+    parts = []
+    for token in (m.group() for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", pattern)):
+        if token.startswith("'"):
+            parts.append(re.escape(token.strip("'")))
+        elif not token[0].isalpha():
+            parts.append(re.escape(token))
+        elif token in ("MMM", "MMMM"):
+            parts.append(r"\p{L}+")
+        elif token[0] in "yMdHms":
+            parts.append(r"\d{%d}" % len(token) if len(token) > 1 else r"\d{1,2}")
+        else:
+            return None
+    return "^" + "".join(parts) + "$"

@@ -15,6 +15,7 @@ from shelfcast.functions.inventory import (
     safety_stock,
 )
 from shelfcast.schema import require_columns, require_rows
+from shelfcast.session import series_partitions
 
 POLICY_COLUMNS = ("expected_demand", "eoq", "safety_stock", "reorder_point", "total_order_quantity")
 SCENARIO_FIELDS = (
@@ -23,6 +24,7 @@ SCENARIO_FIELDS = (
     "lead_time_days",
     "service_level",
 )
+COST_COLUMNS = ("ordering_cost_total", "holding_cost_total", "total_cost")
 CURVE_POINTS = 300
 
 
@@ -181,10 +183,14 @@ def cost_curve(planned: DataFrame, points: int = CURVE_POINTS, keep=None) -> Dat
     Takes the columns ``annual_demand``, ``ordering_cost``, ``holding_cost`` and ``eoq``; items
     without an order have no curve.
     """
-    keep = [c for c in planned.columns if c not in ("ordering_cost_total", "holding_cost_total", "total_cost")] if keep is None else list(keep)
+    if keep is None:
+        keep = [c for c in planned.columns if c not in COST_COLUMNS]
+    keep = list(keep)
+    # Spread first: each row becomes `points` rows, which adaptive coalescing cannot foresee.
+    planned = planned.where(F.col("eoq") > 0).repartition(series_partitions(planned.sparkSession), *keep)
     low = F.greatest(F.lit(1), F.floor(F.col("eoq") / 4)).cast("double")
     high = (4 * F.col("eoq")).cast("double")
-    curve = planned.where(F.col("eoq") > 0).select(
+    curve = planned.select(
         *dict.fromkeys([*keep, "annual_demand", "ordering_cost", "holding_cost", "eoq"]),
         low.alias("_low"),
         high.alias("_high"),
