@@ -28,15 +28,16 @@ class Forecaster(ABC):
         self.keys: list[str] = []
         self.fitted: DataFrame | None = None
 
-    def fit(self, df: DataFrame, keys=KEYS, check_empty: bool = False) -> Forecaster:
+    def fit(self, df: DataFrame, keys=KEYS, check_empty: bool = False, unique: bool = False) -> Forecaster:
         """``df`` has the keys, ``date`` and ``sales``, one row per series and day.
 
-        ``check_empty`` fails on a table without rows, at the price of a job.
+        ``check_empty`` fails on a table without rows, at the price of a job. ``unique`` says that
+        no series has two rows on one day, as after cleaning, and saves the check.
         """
         require_columns(df, ["sales"], "DataFrame must contain 'sales' column")
         if check_empty:
             require_rows(df, "Training data cannot be empty")
-        return self.fit_series(series_table(df, keys, self.extras), keys)
+        return self.fit_series(series_table(df, keys, self.extras, unique), keys)
 
     def fit_series(self, series: DataFrame, keys=KEYS) -> Forecaster:
         """Fit a table made by ``series_table``."""

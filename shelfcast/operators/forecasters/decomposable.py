@@ -219,44 +219,51 @@ class DecomposableForecaster(Forecaster):
         return names + (["regressors"] if self.regressors else [])
 
     def _calendar(self, periods, include_history):
-        """One row per series and day to predict; failed series keep one row without a day."""
+        """One row per series and day to predict, with the regressors' values; failed series keep
+        one row without a day."""
         last = F.element_at("steps", -1)
-        parts = [F.col("steps")] if include_history else []
+        fitted = self._with_future_values(periods) if self.regressors else self.fitted
+        day = "struct<" + ", ".join(["step:int", *[f"{c}:double" for c in self.extras]]) + ">"
+        parts = [F.array().cast(f"array<{day}>")]
+        if include_history:
+            parts.append(F.arrays_zip("steps", *self.extras).cast(f"array<{day}>"))
         if periods:
-            parts.append(F.sequence(last + 1, last + periods))
-        steps = F.concat(*parts) if parts else F.array().cast("array<int>")
-        steps = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("int"))).otherwise(steps)
-        rows = self.fitted.select(
-            *self.keys, "start", "fit", "error", last.alias("last_step"), F.explode(steps).alias("step")
-        )
-        rows = rows.withColumn("date", F.date_add("start", F.col("step"))).withColumn(
-            "is_future", F.col("step") > F.col("last_step")
-        )
-        return self._with_regressors(rows, periods) if self.regressors else rows
-
-    def _with_regressors(self, rows, periods):
-        history = self._series.select(
-            *self.keys, "start", F.inline(F.arrays_zip("steps", *self.extras))
-        ).select(*self.keys, F.date_add("start", F.col("steps")).alias("date"), *self.extras)
-        known = history
-        if periods:
-            if self._future is None:
-                raise ValueError(f"future values are needed for the regressors {list(self.extras)}")
-            known = history.unionByName(
-                self._future.select(
-                    *self.keys, F.col("date").cast("date"), *[F.col(c).cast("double").alias(c) for c in self.extras]
-                )
-            )
-        joined = rows.join(known, [*self.keys, "date"], "left")
+            ahead = F.sequence(last + 1, last + periods)
+            if self.regressors:
+                known = lambda step: F.try_element_at("_future", F.date_add("start", step))
+                to_day = lambda step: F.struct(step, *[known(step)[c] for c in self.extras])
+            else:
+                to_day = F.struct
+            parts.append(F.transform(ahead, lambda step: to_day(step)).cast(f"array<{day}>"))
+        failed = F.array(F.lit(None).cast(day))
+        days = F.when(F.col("error").isNotNull(), failed).otherwise(F.concat(*parts))
+        rows = fitted.select(*self.keys, "start", "fit", "error", last.alias("last_step"), F.explode(days).alias("_day"))
+        rows = rows.withColumns({"step": F.col("_day.step"), **{c: F.col(f"_day.{c}") for c in self.extras}})
+        rows = rows.withColumns(
+            {"date": F.date_add("start", F.col("step")), "is_future": F.col("step") > F.col("last_step")}
+        ).drop("_day")
         message = F.concat(F.lit("no regressor value on "), F.col("date").cast("string"))
-        return joined.withColumns(
+        absent = F.raise_error(message).cast("double")
+        return rows.withColumns(
             {
-                c: F.when(F.col("date").isNotNull() & F.col(c).isNull(), F.raise_error(message).cast("double"))
-                .otherwise(F.col(c))
+                c: F.when(F.col("date").isNotNull() & F.col(c).isNull(), absent).otherwise(F.col(c))
                 for c in self.extras
             }
         )
 
+    def _with_future_values(self, periods):
+        """Adds the map ``_future`` of day to regressor values: joined per series, so the history
+        rows are not shuffled."""
+        if not periods:
+            return self.fitted
+        if self._future is None:
+            raise ValueError(f"future values are needed for the regressors {list(self.extras)}")
+        values = F.struct(*[F.col(c).cast("double").alias(c) for c in self.extras])
+        by_series = self._future.groupBy(*self.keys).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("date"), values))).alias("_future")
+        )
+        return self.fitted.join(by_series, self.keys, "left")
+
     def _evaluate(self, rows):
         """Adds ``trend``, the terms, ``forecast`` and the interval."""
         if self._holiday_days:

@@ -14,7 +14,7 @@ from shelfcast.schema import KEYS, require_columns, require_rows
 class NaiveForecaster(Forecaster):
     """The last observed value for every future day; no history rows and no interval."""
 
-    def fit(self, df: DataFrame, keys=KEYS, check_empty: bool = False) -> NaiveForecaster:
+    def fit(self, df: DataFrame, keys=KEYS, check_empty: bool = False, unique: bool = False) -> NaiveForecaster:
         # Only the last row counts, so partial aggregation replaces the series table.
         require_columns(df, ["sales"], "DataFrame must contain 'sales' column")
         if check_empty:

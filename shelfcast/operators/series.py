@@ -9,15 +9,19 @@ from shelfcast.operators.split import holdout_length
 from shelfcast.schema import KEYS, require_columns
 
 
-def series_table(df: DataFrame, keys=KEYS, extras=()) -> DataFrame:
+def series_table(df: DataFrame, keys=KEYS, extras=(), unique: bool = False) -> DataFrame:
     """Columns: keys, ``start`` date, ``steps`` (days since start, ascending), ``values`` and one
     array per extra column.
 
-    The arrays hold at most one element per calendar day, so a row is bounded however large the
-    table is. After cleaning the rows are already placed by series key and are not shuffled again.
+    The arrays hold one element per calendar day, so a row is bounded however large the table is.
+    Two rows for one day fail the query; they meet in a partial aggregation, before anything is
+    collected. ``unique`` skips that for tables known to be clean. After cleaning the rows are
+    already placed by series key and are not shuffled again.
     """
     keys = list(keys)
     require_columns(df, [*keys, "date", "sales", *extras])
+    if not unique:
+        df = _one_row_per_day(df, keys, extras)
     day = F.struct("date", F.col("sales").cast("double").alias("sales"), *extras)
     grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("days"))
     start = F.col("days")[0]["date"]
@@ -30,6 +34,17 @@ def series_table(df: DataFrame, keys=KEYS, extras=()) -> DataFrame:
     )
 
 
+def _one_row_per_day(df, keys, extras):
+    columns = ["sales", *extras]
+    counted = df.groupBy(*keys, "date").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in columns]
+    )
+    message = F.concat(F.lit("more than one row for a series on "), F.col("date").cast("string"))
+    return counted.withColumn(
+        "sales", F.when(F.col("_n") > 1, F.raise_error(message).cast("double")).otherwise(F.col("sales"))
+    ).drop("_n")
+
+
 def shorten(series: DataFrame, n_rows, extras=()) -> DataFrame:
     """Keep the first ``n_rows`` (a column) observations of each series."""
     arrays = ("steps", "values", *extras)

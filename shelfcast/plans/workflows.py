@@ -43,7 +43,7 @@ def run_forecast(
     callers who use both results.
     """
     name, make = _model_maker(model)
-    series = series_table(clean_sales(sales, keys=keys, **clean_options), keys, make().extras)
+    series = series_table(clean_sales(sales, keys=keys, **clean_options), keys, make().extras, unique=True)
     if materialise:
         series = cut_lineage(series)
     forecast = make().fit_series(series, keys).predict(periods)
@@ -63,7 +63,7 @@ def champion_forecast(sales: DataFrame, models, periods: int, metric="rmse", key
     """
     makers = dict(_model_maker(m) for m in models)
     extras = tuple(dict.fromkeys(e for make in makers.values() for e in make().extras))
-    series = cut_lineage(series_table(clean_sales(sales, keys=keys, **clean_options), keys, extras))
+    series = cut_lineage(series_table(clean_sales(sales, keys=keys, **clean_options), keys, extras, unique=True))
     metrics = _hold_out_metrics(series, makers, periods, keys)
     winners = best_model(metrics, metric, keys).select(*keys, "model")
     chosen = cut_lineage(
@@ -94,7 +94,8 @@ def replenishment_plan(
     """Sales to order policy: clean, forecast, order quantity per series and future day."""
     name, make = _model_maker(model)
     cleaned = clean_sales(sales, keys=keys, **clean_options)
-    future = future_rows(make().fit(cleaned, keys).predict(periods, include_history=False))
+    fitted = make().fit(cleaned, keys, unique=True)
+    future = future_rows(fitted.predict(periods, include_history=False))
     future = add_uncertainty(normalise_forecast(future.where(F.col("error").isNull()), keep=keys))
     return order_policy(
         future,

@@ -204,12 +204,12 @@ def supplier_clean_profile(spark, sf_dir):
 
 
 def naive_forecast(spark, sf_dir):
-    rows = NaiveForecaster().fit(cleaned(spark, sf_dir)).predict(HORIZON)
+    rows = NaiveForecaster().fit(cleaned(spark, sf_dir), unique=True).predict(HORIZON)
     return rows.select("store", "item", "date", "step", "forecast")
 
 
 def user_forecast(spark, sf_dir):
-    rows = recent_mean_model().fit(cleaned(spark, sf_dir)).predict(HORIZON)
+    rows = recent_mean_model().fit(cleaned(spark, sf_dir), unique=True).predict(HORIZON)
     return rows.select("store", "item", "date", "step", "is_future", "forecast", "ci_lower", "ci_upper")
 
 
@@ -219,7 +219,7 @@ def normalised_forecast(spark, sf_dir):
 
 
 def forecast_uncertainty(spark, sf_dir):
-    rows = recent_mean_model().fit(cleaned(spark, sf_dir)).predict(HORIZON)
+    rows = recent_mean_model().fit(cleaned(spark, sf_dir), unique=True).predict(HORIZON)
     wanted = add_uncertainty(normalise_forecast(future_rows(rows), keep=["store", "item"]))
     return wanted.select("store", "item", "date", "forecast", "uncertainty")
 
@@ -251,19 +251,19 @@ def best_models(spark, sf_dir):
 
 
 def decomposable_forecast(spark, sf_dir):
-    return DecomposableForecaster().fit(cleaned(spark, sf_dir)).predict(HORIZON, include_history=False)
+    return DecomposableForecaster().fit(cleaned(spark, sf_dir), unique=True).predict(HORIZON, include_history=False)
 
 
 def decomposable_history(spark, sf_dir):
     """Fitted history and future of every series, summed up per series."""
-    rows = DecomposableForecaster().fit(cleaned(spark, sf_dir)).predict(HORIZON)
+    rows = DecomposableForecaster().fit(cleaned(spark, sf_dir), unique=True).predict(HORIZON)
     return rows.groupBy("store", "item", "is_future").agg(
         F.count(F.lit(1)).alias("n_days"), F.sum("forecast").alias("total_forecast")
     )
 
 
 def decomposable_components(spark, sf_dir):
-    rows = DecomposableForecaster().fit(cleaned(spark, sf_dir)).components()
+    rows = DecomposableForecaster().fit(cleaned(spark, sf_dir), unique=True).components()
     return rows.drop("error")
 
 
@@ -277,24 +277,24 @@ def decomposable_holidays(spark, sf_dir):
     future = add_time_features(
         NaiveForecaster().fit(history).predict(HORIZON).select("store", "item", "date")
     )
-    return model.fit(history).predict(HORIZON, include_history=False, future=future)
+    return model.fit(history, unique=True).predict(HORIZON, include_history=False, future=future)
 
 
 def decomposable_cv(spark, sf_dir):
-    rows = DecomposableForecaster().fit(cleaned(spark, sf_dir)).cross_validate()
+    rows = DecomposableForecaster().fit(cleaned(spark, sf_dir), unique=True).cross_validate()
     return metrics_by_horizon(rows, rolling_window=0.1)
 
 
 def seasonal_arima_forecast(spark, sf_dir):
-    return SeasonalArimaForecaster().fit(cleaned(spark, sf_dir)).predict(HORIZON, include_history=False)
+    return SeasonalArimaForecaster().fit(cleaned(spark, sf_dir), unique=True).predict(HORIZON, include_history=False)
 
 
 def seasonal_arima_params(spark, sf_dir):
-    return SeasonalArimaForecaster().fit(cleaned(spark, sf_dir)).parameters()
+    return SeasonalArimaForecaster().fit(cleaned(spark, sf_dir), unique=True).parameters()
 
 
 def seasonal_arima_residuals(spark, sf_dir):
-    rows = SeasonalArimaForecaster().fit(cleaned(spark, sf_dir)).residuals()
+    rows = SeasonalArimaForecaster().fit(cleaned(spark, sf_dir), unique=True).residuals()
     return rows.groupBy("store", "item").agg(
         F.count(F.lit(1)).alias("n_days"), F.avg("residual").alias("bias"), F.stddev("residual").alias("deviation")
     )
