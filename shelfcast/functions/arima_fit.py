@@ -12,7 +12,7 @@ import numpy as np
 
 BLOCK = 64
 MAX_ROUNDS = 40
-TOLERANCE = 1e-7
+TOLERANCE = 1e-6
 
 
 @dataclass(frozen=True)
@@ -64,31 +64,47 @@ def _filter(poly, x):
     return out
 
 
+def _reciprocal(poly, size):
+    """First ``size`` coefficients of 1 / poly, by Newton's iteration on power series."""
+    series = np.ones(1)
+    while len(series) < size:
+        known = min(2 * len(series), size)
+        correction = -np.convolve(poly[:known], series)[:known]
+        correction[0] += 2.0
+        series = np.convolve(series, correction)[:known]
+        series = np.pad(series, (0, known - len(series)))
+    return series
+
+
 def _inverse_filter(poly, x):
-    """Solve poly(L) e = x along the first axis, block by block."""
+    """Solve poly(L) e = x along the first axis.
+
+    Blocks are solved together as if nothing preceded them; then the influence of each block's last
+    errors on the next one is passed along.
+    """
     reach = len(poly) - 1
     if reach == 0:
         return x.copy()
     size = max(BLOCK, reach)
-    response = np.zeros(size)
-    response[0] = 1.0
-    for i in range(1, size):
-        m = min(i, reach)
-        response[i] = -poly[1 : m + 1] @ response[i - m : i][::-1]
+    response = _reciprocal(poly, size)
     lag = np.subtract.outer(np.arange(size), np.arange(size))
     solve = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
     # carry[i, j]: weight of the j-th of the last `reach` errors in row i of the next block
     back = np.subtract.outer(np.arange(reach), np.arange(reach)) + reach
     carry = np.where(back <= reach, poly[np.minimum(back, reach)], 0.0)
+    link = solve[:, :reach] @ carry
 
-    e = np.empty_like(x)
-    for begin in range(0, len(x), size):
-        block = x[begin : begin + size].copy()
-        if begin:
-            rows = min(reach, len(block))
-            block[:rows] -= carry[:rows] @ e[begin - reach : begin]
-        e[begin : begin + len(block)] = solve[: len(block), : len(block)] @ block
-    return e
+    flat = x.reshape(len(x), -1)
+    blocks, columns = -(-len(x) // size), flat.shape[1]
+    padded = np.zeros((blocks * size, columns))
+    padded[: len(x)] = flat
+    side_by_side = padded.reshape(blocks, size, columns).transpose(1, 0, 2).reshape(size, -1)
+    local = (solve @ side_by_side).reshape(size, blocks, columns)
+    tails = np.zeros((blocks, reach, columns))
+    for block in range(1, blocks):
+        tails[block] = local[-reach:, block - 1] - link[-reach:] @ tails[block - 1]
+    e = local - (link @ tails.transpose(1, 0, 2).reshape(reach, -1)).reshape(size, blocks, columns)
+    return e.transpose(1, 0, 2).reshape(blocks * size, columns)[: len(x)].reshape(x.shape)
 
 
 def _errors(w, theta, spec: ArimaOrder):
@@ -96,26 +112,27 @@ def _errors(w, theta, spec: ArimaOrder):
     return _inverse_filter(ma, _filter(ar, w))
 
 
-def _errors_and_slopes(w, theta, spec: ArimaOrder):
-    """Errors and their derivative by each coefficient."""
-    ar, ma = spec.polynomials(theta)
+def _slopes(w, errors, theta, spec: ArimaOrder):
+    """Derivative of the errors by each coefficient."""
+    if not len(theta):
+        return np.zeros((len(w), 0))
+    _, ma = spec.polynomials(theta)
     p, sp, q, sq = spec.sizes
     s = spec.seasonal_order[3]
-    parts = np.split(np.asarray(theta, float), np.cumsum(spec.sizes)[:-1])
-    errors = _inverse_filter(ma, _filter(ar, w))
+    ar_part, sar_part, ma_part, sma_part = np.split(np.asarray(theta, float), np.cumsum(spec.sizes)[:-1])
     inputs = []
-    for count, stride, other, series, sign in (
-        (p, 1, _spread(-parts[1], s), w, -1.0),
-        (sp, s, _spread(-parts[0], 1), w, -1.0),
-        (q, 1, _spread(parts[3], s), errors, -1.0),
-        (sq, s, _spread(parts[2], 1), errors, -1.0),
+    for count, stride, other, series in (
+        (p, 1, _spread(-sar_part, s), w),
+        (sp, s, _spread(-ar_part, 1), w),
+        (q, 1, _spread(sma_part, s), errors),
+        (sq, s, _spread(ma_part, 1), errors),
     ):
-        base = sign * _filter(other, series) if count else None
+        base = -_filter(other, series) if count else None
         for k in range(1, count + 1):
             shifted = np.zeros_like(w)
             shifted[stride * k :] = base[: max(len(w) - stride * k, 0)]
             inputs.append(shifted)
-    return errors, _inverse_filter(ma, np.column_stack(inputs)) if inputs else np.zeros((len(w), 0))
+    return _inverse_filter(ma, np.column_stack(inputs))
 
 
 def fit_arima(values: np.ndarray, spec: ArimaOrder) -> dict:
@@ -128,7 +145,8 @@ def fit_arima(values: np.ndarray, spec: ArimaOrder) -> dict:
     w = _filter(diff, values)[lost:]
 
     theta, damping = np.zeros(count), 1e-3
-    errors, slopes = _errors_and_slopes(w, theta, spec)
+    errors = _errors(w, theta, spec)
+    slopes = _slopes(w, errors, theta, spec)
     best = float(errors @ errors)
     for _ in range(MAX_ROUNDS if count else 0):
         normal = slopes.T @ slopes
@@ -140,11 +158,10 @@ def fit_arima(values: np.ndarray, spec: ArimaOrder) -> dict:
             squared = float(trial @ trial)
         if np.isfinite(squared) and squared < best:
             gain = (best - squared) / (best or 1.0)
-            theta, best, damping = theta + step, squared, damping / 5
+            theta, errors, best, damping = theta + step, trial, squared, damping / 5
             if gain < TOLERANCE:
-                errors = trial
                 break
-            errors, slopes = _errors_and_slopes(w, theta, spec)
+            slopes = _slopes(w, errors, theta, spec)
         else:
             damping *= 8
             if damping > 1e8:
@@ -155,7 +172,7 @@ def fit_arima(values: np.ndarray, spec: ArimaOrder) -> dict:
     likelihood = -0.5 * n * (np.log(2 * np.pi * max(variance, 1e-300)) + 1)
     ar, ma = spec.polynomials(theta)
     full = np.convolve(ar, diff)
-    all_errors = np.concatenate([np.zeros(lost), _errors(w, theta, spec)])
+    all_errors = np.concatenate([np.zeros(lost), errors])
     # Days lost to differencing are predicted from what precedes them, with zeros before the sample.
     residuals = all_errors.copy()
     residuals[:lost] = _filter(full, values)[:lost]

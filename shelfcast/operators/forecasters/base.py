@@ -40,7 +40,7 @@ class Forecaster(ABC):
         return self.fit_series(series_table(df, keys, self.extras, unique), keys)
 
     def fit_series(self, series: DataFrame, keys=KEYS) -> Forecaster:
-        """Fit a table made by ``series_table``."""
+        """Fit a table made by ``series_table``; further columns named as keys are carried along."""
         self.keys = list(keys)
         self.fitted = self._fit(series)
         return self

@@ -47,17 +47,15 @@ def _one_row_per_day(df, keys, extras):
 
 def shorten(series: DataFrame, n_rows, extras=()) -> DataFrame:
     """Keep the first ``n_rows`` (a column) observations of each series."""
-    arrays = ("steps", "values", *extras)
-    return series.withColumns({a: F.slice(a, F.lit(1), n_rows) for a in arrays})
+    return series.withColumns({a: F.slice(a, F.lit(1), n_rows) for a in ("steps", "values", *extras)})
 
 
-def split_series(series: DataFrame, periods: int, extras=()) -> tuple[DataFrame, DataFrame]:
-    """Training series table and held-out rows (keys, ``step``, ``actual``); no shuffle."""
+def hold_out(series: DataFrame, periods: int, extras=()) -> DataFrame:
+    """Training part of each series, with its last observations as the array ``held_out``.
+
+    The held-out values travel with the series, so scoring a forecast needs no join.
+    """
     n = F.size("values")
     test_length = holdout_length(n, periods)
-    train = shorten(series, n - test_length, extras)
-    keys = [c for c in series.columns if c not in ("start", "steps", "values", *extras)]
-    test = series.select(
-        *keys, F.posexplode(F.slice("values", n - test_length + 1, test_length)).alias("_pos", "actual")
-    )
-    return train, test.select(*keys, (F.col("_pos") + 1).alias("step"), "actual")
+    test = F.slice("values", n - test_length + 1, test_length)
+    return shorten(series.withColumn("held_out", test), n - test_length, extras)

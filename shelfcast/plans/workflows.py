@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.clean import clean_sales
-from shelfcast.operators.evaluate import best_model, forecast_metrics, pair_by_step
+from shelfcast.operators.evaluate import best_model, forecast_metrics
 from shelfcast.operators.features import add_time_features
 from shelfcast.operators.forecasters import Forecaster, build_model
 from shelfcast.operators.intervals import add_uncertainty, future_rows, normalise_forecast
 from shelfcast.operators.policy import order_policy
-from shelfcast.operators.series import series_table, split_series
+from shelfcast.operators.series import hold_out, series_table
 from shelfcast.schema import KEYS
 from shelfcast.session import cut_lineage
 
@@ -110,14 +110,20 @@ def replenishment_plan(
 
 def _hold_out_metrics(series, makers, periods, keys):
     extras = [c for c in series.columns if c not in ("start", "steps", "values", *keys)]
-    train, test = split_series(series, periods, extras)
-    train = train.where(F.size("values") > 0)
-    predicted = None
+    train = hold_out(series, periods, extras).where(F.size("values") > 0)
+    pairs = None
     for name, make in makers.items():
-        rows = make().fit_series(train, keys).predict(periods, include_history=False, include_confidence=False)
-        rows = rows.withColumn("model", F.lit(name))
-        predicted = rows if predicted is None else predicted.unionByName(rows)
-    return forecast_metrics(pair_by_step(test.select(*keys, "step", "actual"), predicted, keys), [*keys, "model"])
+        # The held-out array rides along as one more key column.
+        model = make().fit_series(train, [*keys, "held_out"])
+        rows = model.predict(periods, include_history=False, include_confidence=False)
+        rows = rows.where(F.col("step") <= F.size("held_out")).select(
+            *keys,
+            F.lit(name).alias("model"),
+            F.get("held_out", F.col("step") - 1).alias("actual"),
+            F.col("forecast").alias("predicted"),
+        )
+        pairs = rows if pairs is None else pairs.unionByName(rows)
+    return forecast_metrics(pairs, [*keys, "model"])
 
 
 def _model_maker(model):

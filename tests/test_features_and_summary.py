@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators.features import add_moving_averages, add_stock_columns, add_time_features
 from shelfcast.operators.quantiles import exact_quantiles
 from shelfcast.operators.running_total import running_total
-from shelfcast.operators.series import series_table, shorten, split_series
+from shelfcast.operators.series import hold_out, series_table, shorten
 from shelfcast.operators.split import last_observation, split_train_test
 from shelfcast.operators.summary import daily_totals, dataset_summary, item_list, store_list, weekday_distribution
 
@@ -96,6 +96,5 @@ def test_series_table_and_its_split(make_series):
     first = series.where("item = 1").first()
     assert (first.start, first.steps, first["values"]) == (dt.date(2026, 1, 1), [0, 3, 4], [1.0, 2.0, 3.0])
     assert shorten(series, F.lit(2)).where("item = 1").first().steps == [0, 3]
-    train, test = split_series(series, 30)
-    assert train.where("item = 2").first()["values"] == [float(i) for i in range(8)]
-    assert [(r.step, r.actual) for r in test.where("item = 2").orderBy("step").collect()] == [(1, 8.0), (2, 9.0)]
+    train = hold_out(series, 30).where("item = 2").first()
+    assert train["values"] == [float(i) for i in range(8)] and train.held_out == [8.0, 9.0]
