@@ -173,7 +173,9 @@ class DecomposableForecaster(Forecaster):
             columns = []
             for period, order, min_span in seasonalities:
                 block = seasonal_columns(first, steps, period, order)
-                columns.append(block if steps[-1] - steps[0] >= min_span else 0 * block)
+                # Weekly terms need two weeks of history and observations closer than a week.
+                usable = not min_span or (steps[-1] - steps[0] >= min_span and np.diff(steps).min() < period)
+                columns.append(block if usable else 0 * block)
             means, deviations = [], []
             for x, standardize in zip(extras, standardized):
                 spread = float(x.std()) if standardize else 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.session import cut_lineage, series_partitions
+from shelfcast.session import cut_lineage
 
 
 def running_total(
@@ -21,14 +21,15 @@ def running_total(
     and the totals of earlier chunks are added as an offset. ``order_by`` must be a unique order
     within ``group``: then ties split across chunks too, and no chunk can become hot.
 
+    Without ``partitions`` the session's shuffle partitions apply, coalesced to the size of the data.
+
     The chunked table is checkpointed because both passes must see the same chunks, also after an
     executor is lost.
     """
     group = list(group)
-    partitions = partitions or series_partitions(df.sparkSession)
-    chunked = cut_lineage(
-        df.repartitionByRange(partitions, *group, *order_by).withColumn("_chunk", F.spark_partition_id())
-    )
+    sort = [*group, *order_by]
+    ranged = df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)
+    chunked = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
 
     # At most one row per chunk and group boundary.
     totals = chunked.groupBy(*group, "_chunk").agg(F.sum(value).alias("_chunk_total"))
@@ -41,7 +42,7 @@ def running_total(
         F.sum("_chunk_total").over(whole).alias("grand_total"),
     )
     if not group:
-        offsets = F.broadcast(offsets)  # at most `partitions` rows
+        offsets = F.broadcast(offsets)  # one row per chunk: at most the session's shuffle partitions
 
     within = (
         Window.partitionBy(*group, "_chunk").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)

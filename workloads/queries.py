@@ -5,6 +5,8 @@ Dates are returned as text and doubles rounded, so that results compare across e
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,12 @@ from shelfcast.operators.summary import (
 )
 from shelfcast.plans.registry import ModelRegistry
 from shelfcast.plans.workflows import champion_forecast, clean_and_describe, replenishment_plan, run_forecast
+from shelfcast.session import ship_by_value
 from shelfcast.sources.sales import coercion_report, validate_sales
 from workloads.views import daily_sales, item_demand, part_demand, sale_lines, supplier_lines, table
 
+ship_by_value(sys.modules[__name__])  # for the user-defined model
+
 HORIZON = 30
 RECENT_DAYS = 28
 SCENARIOS = [
