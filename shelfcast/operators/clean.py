@@ -19,6 +19,7 @@ def clean_sales(
     on_leading_null: str = "error",
     approx_quantiles: bool = False,
     with_fence: bool = False,
+    placed: bool = False,
 ) -> DataFrame:
     """One row per series and day from its first to its last date, all series in one job.
 
@@ -28,7 +29,8 @@ def clean_sales(
 
     ``on_duplicate`` says what to do with several rows for one series and day: fail, add them up,
     or keep one of identical rows (different ones still fail). ``on_leading_null`` says whether a
-    series that starts without a value fails or loses those days.
+    series that starts without a value fails or loses those days. ``placed`` says that the input is
+    already partitioned by the keys, as a table bucketed by them is, and saves the shuffle.
 
     Plan: one shuffle by series key (plus a pre-aggregation by day for "sum" and "distinct", which
     also takes the weight out of hot series). A series has one row per calendar day at most, which
@@ -42,7 +44,7 @@ def clean_sales(
     keys = list(keys)
     require_columns(df, ["date", *keys, "sales"])
 
-    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate), keys, on_leading_null)
+    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate, placed), keys, on_leading_null)
 
     quartile = F.percentile_approx if approx_quantiles else F.percentile
     q = quartile("sales", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*keys))
@@ -52,11 +54,12 @@ def clean_sales(
     return capped if with_fence else capped.drop("fence")
 
 
-def outlier_fence(df: DataFrame, keys=KEYS, **options) -> DataFrame:
+def outlier_fence(
+    df: DataFrame, keys=KEYS, on_duplicate: str = "error", on_leading_null: str = "error", placed: bool = False
+) -> DataFrame:
     """Q1, Q3, interquartile range and upper fence per series, over the filled daily values."""
     keys = list(keys)
-    rules = {"on_duplicate": "error", "on_leading_null": "error", **options}
-    filled = _fill_days(_one_row_per_day(df, keys, rules["on_duplicate"]), keys, rules["on_leading_null"])
+    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate, placed), keys, on_leading_null)
     q = filled.groupBy(*keys).agg(F.percentile("sales", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return q.select(
@@ -64,13 +67,15 @@ def outlier_fence(df: DataFrame, keys=KEYS, **options) -> DataFrame:
     )
 
 
-def _one_row_per_day(df, keys, on_duplicate):
+def _one_row_per_day(df, keys, on_duplicate, placed):
     rows = df.select(*keys, F.col("date").cast("date").alias("date"), F.col("sales").cast("double").alias("sales"))
     rows = rows.where(F.col("date").isNotNull())
     if on_duplicate == "sum":
         rows = rows.groupBy(*keys, "date").agg(F.sum("sales").alias("sales"))
     elif on_duplicate == "distinct":
         rows = rows.distinct()
+    if placed:
+        return rows
     # Stated partition count: the days are filled in after this shuffle, out of adaptive sight.
     return rows.repartition(series_partitions(df.sparkSession), *keys)
 

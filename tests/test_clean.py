@@ -94,6 +94,27 @@ def test_plan_has_one_shuffle_by_key_and_no_join(make_series):
     assert "Join" not in plan and "Python" not in plan
 
 
+def test_hot_days_are_summed_before_the_shuffle(make_series):
+    plan = clean_sales(make_series({1: [1, 2]}), on_duplicate="sum")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.index("partial_sum") > plan.rindex("Exchange hashpartitioning")  # printed below it
+
+
+def test_bucketed_tables_need_no_shuffle(spark, make_series, tmp_path):
+    from shelfcast.operators.forecasters import SeasonalArimaForecaster
+
+    df = make_series({i: [1.0, 2.0, 3.0] for i in range(20)})
+    df.write.bucketBy(4, "store", "item").sortBy("store", "item").option("path", str(tmp_path / "t")).saveAsTable("bucketed")
+    try:
+        source = spark.table("bucketed")
+        cleaned = clean_sales(source, on_duplicate="sum", placed=True)
+        forecast = SeasonalArimaForecaster().fit(cleaned, unique=True).predict(3)
+        assert "Exchange" not in forecast._jdf.queryExecution().executedPlan().toString()
+        assert sorted(cleaned.collect()) == sorted(clean_sales(df).collect())
+    finally:
+        spark.sql("DROP TABLE bucketed")
+
+
 def test_cleaned_features(make_series):
     row = clean_and_describe(make_series({1: {"2026-01-10": 5}})).first()
     assert (row.day_of_week, row.month, row.is_weekend) == (5, 1, 1)

@@ -291,6 +291,12 @@ ORACLES = {
         SELECT store, item, CAST(last_date + step AS VARCHAR) AS date, round(last_value, 6) AS expected_demand,
                {policy("last_value", "20.0", "5.0", "3")}
         FROM last_rows CROSS JOIN steps""",
+    "eoq_joined_uncertainty": f"""
+        WITH {SALES}{CLEAN}{LAST}{RECENT}{AHEAD}
+        SELECT store, item, CAST(last_rows.last_date + step AS VARCHAR) AS date,
+               round(last_value, 6) AS expected_demand,
+               {policy("last_value", "50.0", "0.5", "7", "(level + spread - level)", 10)}
+        FROM last_rows JOIN recent USING (store, item) CROSS JOIN steps""",
     "eoq_summary": f"""
         WITH {SALES}{CLEAN}{RECENT}{AHEAD},
         plan AS (

@@ -24,7 +24,14 @@ from shelfcast.operators.forecasters import (
     SeasonalArimaForecaster,
 )
 from shelfcast.operators.intervals import add_uncertainty, future_rows, normalise_forecast
-from shelfcast.operators.policy import add_scenarios, annual_policy, cost_curve, order_policy, policy_summary
+from shelfcast.operators.policy import (
+    add_scenarios,
+    annual_policy,
+    cost_curve,
+    join_uncertainty,
+    order_policy,
+    policy_summary,
+)
 from shelfcast.operators.selection import filter_series, preview
 from shelfcast.operators.split import last_observation, split_train_test
 from shelfcast.operators.summary import (
@@ -333,6 +340,19 @@ def eoq_without_uncertainty(spark, sf_dir):
     )
 
 
+def eoq_joined_uncertainty(spark, sf_dir):
+    """Point forecasts of one model with the uncertainty of another, matched by series and day."""
+    history = cleaned(spark, sf_dir)
+    forecast = NaiveForecaster().fit(history).predict(HORIZON).select("store", "item", "date", "forecast")
+    band = recent_mean_model().fit(history, unique=True).predict(HORIZON)
+    errors = add_uncertainty(band).select("store", "item", "date", "uncertainty")
+    matched = join_uncertainty(forecast, errors, ["store", "item", "date"])
+    plan = order_policy(matched, 50.0, 0.5, 7, uncertainty="uncertainty", batch_size=10)
+    return plan.select(
+        "store", "item", "date", "expected_demand", "eoq", "safety_stock", "reorder_point", "total_order_quantity"
+    )
+
+
 def eoq_summary(spark, sf_dir):
     return policy_summary(eoq_policy(spark, sf_dir), ["store"])
 
@@ -446,6 +466,7 @@ REGISTERED = {
     "champion_forecast": champion,
     "eoq_policy": eoq_policy,
     "eoq_without_uncertainty": eoq_without_uncertainty,
+    "eoq_joined_uncertainty": eoq_joined_uncertainty,
     "eoq_summary": eoq_summary,
     "eoq_by_line": eoq_by_line,
     "annual_policy": annual_order_policy,
