@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 TREND_SCALE = 5.0  # prior scale of the initial slope and level
-MAX_ROUNDS = 10
+MAX_ROUNDS = 6
 TOLERANCE = 5e-3
 NOISE_FLOOR = 1e-10
 

@@ -163,7 +163,7 @@ ORACLES = {
     "sales_daily": f"WITH {SALES} SELECT CAST(date AS VARCHAR) AS date, store, item, sales FROM sales",
     "coerced_sales": f"""
         SELECT CAST({STYLED_DATE} AS VARCHAR) AS date, l_suppkey AS store,
-               CASE WHEN l_tax <> 0 THEN l_partkey END AS item,
+               CASE WHEN l_tax <> 0 THEN l_partkey ELSE -1 END AS item,
                CASE WHEN l_discount <> 0 THEN l_quantity END AS sales, l_orderkey, l_linenumber
         FROM lineitem""",
     "coercion_counts": """
