@@ -352,9 +352,15 @@ class DecomposableForecaster(Forecaster):
         cutoffs = F.when(newest >= initial, F.sequence(newest, F.lit(initial), F.lit(-period)))
         arrays = ("steps", "values", *self.extras)
         origins = self._series.withColumn("cutoff_step", F.explode(cutoffs))
-        n_train = F.size(F.filter("steps", lambda s: s <= F.col("cutoff_step")))
-        n_known = F.size(F.filter("steps", lambda s: s <= F.col("cutoff_step") + horizon))
-        origins = origins.withColumns({"_n_train": n_train, "_n_test": n_known - n_train})
+        gap_free = last + 1 == F.size("steps")
+
+        def observations_until(step):
+            counted = F.size(F.filter("steps", lambda s: s <= step))
+            return F.when(gap_free, step + 1).otherwise(counted)
+
+        n_train = observations_until(F.col("cutoff_step"))
+        n_test = observations_until(F.col("cutoff_step") + horizon) - n_train
+        origins = origins.withColumns({"_n_train": n_train, "_n_test": n_test})
         held_out = F.arrays_zip(*[F.slice(a, F.col("_n_train") + 1, F.col("_n_test")).alias(a) for a in arrays])
         train = origins.withColumn("_held_out", held_out).withColumns(
             {a: F.slice(a, F.lit(1), F.col("_n_train")) for a in arrays}

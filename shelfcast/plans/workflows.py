@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.clean import clean_sales
-from shelfcast.operators.evaluate import best_model, forecast_metrics
+from shelfcast.operators.evaluate import best_model, forecast_metrics, rank_models
 from shelfcast.operators.features import add_time_features
 from shelfcast.operators.forecasters import Forecaster, build_model
 from shelfcast.operators.intervals import add_uncertainty, future_rows, normalise_forecast
@@ -53,6 +53,13 @@ def run_forecast(
     return ForecastRun(canonical, _hold_out_metrics(series, {name: make}, periods, keys))
 
 
+def score_models(sales: DataFrame, models, periods: int, keys=KEYS, **clean_options) -> DataFrame:
+    """Hold-out errors and rank of several models per series, from one cleaned series table."""
+    makers = dict(_model_maker(m) for m in models)
+    series = _series_for(makers, sales, keys, clean_options)
+    return rank_models(_hold_out_metrics(series, makers, periods, keys), keys)
+
+
 def champion_forecast(sales: DataFrame, models, periods: int, metric="rmse", keys=KEYS, **clean_options) -> DataFrame:
     """Future days of every series from the model that scored best on its hold-out.
 
@@ -62,8 +69,7 @@ def champion_forecast(sales: DataFrame, models, periods: int, metric="rmse", key
     run once.
     """
     makers = dict(_model_maker(m) for m in models)
-    extras = tuple(dict.fromkeys(e for make in makers.values() for e in make().extras))
-    series = cut_lineage(series_table(clean_sales(sales, keys=keys, **clean_options), keys, extras, unique=True))
+    series = _series_for(makers, sales, keys, clean_options)
     metrics = _hold_out_metrics(series, makers, periods, keys)
     winners = best_model(metrics, metric, keys).select(*keys, "model")
     chosen = cut_lineage(
@@ -108,6 +114,12 @@ def replenishment_plan(
     ).withColumn("model", F.lit(name))
 
 
+def _series_for(makers, sales, keys, clean_options):
+    """Checkpointed series table with the columns all the models need."""
+    extras = tuple(dict.fromkeys(e for make in makers.values() for e in make().extras))
+    return cut_lineage(series_table(clean_sales(sales, keys=keys, **clean_options), keys, extras, unique=True))
+
+
 def _hold_out_metrics(series, makers, periods, keys):
     extras = [c for c in series.columns if c not in ("start", "steps", "values", *keys)]
     train = hold_out(series, periods, extras).where(F.size("values") > 0)

@@ -15,6 +15,8 @@ MODEL_QUERIES = {
     "seasonal_arima_forecast",
     "seasonal_arima_params",
     "seasonal_arima_residuals",
+    "forecast_run",
+    "model_scores",
     "champion_forecast",
 }
 

@@ -10,7 +10,7 @@ from shelfcast.operators.forecasters import FunctionForecaster, NaiveForecaster
 from shelfcast.operators.intervals import add_uncertainty, future_rows, normalise_forecast, rows_after
 from shelfcast.operators.split import last_observation
 from shelfcast.plans.registry import ModelRegistry
-from shelfcast.plans.workflows import champion_forecast, replenishment_plan, run_forecast
+from shelfcast.plans.workflows import champion_forecast, replenishment_plan, run_forecast, score_models
 
 PAIRS = "g long, actual double, predicted double"
 
@@ -205,6 +205,8 @@ def test_run_forecast_with_history(make_series):
 
 def test_champion_uses_the_best_model_of_each_series(make_series):
     df = make_series({1: [7.0 + (i % 7) for i in range(70)], 2: [4.0] * 30 + [9.0] * 40, 3: [6.0]})
+    scores = score_models(df, ["sarima", "naive"], 7).collect()
+    assert sorted((r.item, r["rank"]) for r in scores) == [(1, 1), (1, 2), (2, 1), (2, 2)]
     rows = champion_forecast(df, ["sarima", ("four", lambda: constant(4.0)), "naive"], 7).collect()
     chosen = {r.item: r.model for r in rows}
     assert chosen == {1: "sarima", 2: chosen[2], 3: "naive"} and chosen[2] != "four"

@@ -42,7 +42,13 @@ from shelfcast.operators.summary import (
     weekday_distribution,
 )
 from shelfcast.plans.registry import ModelRegistry
-from shelfcast.plans.workflows import champion_forecast, clean_and_describe, replenishment_plan, run_forecast
+from shelfcast.plans.workflows import (
+    champion_forecast,
+    clean_and_describe,
+    replenishment_plan,
+    run_forecast,
+    score_models,
+)
 from shelfcast.session import ship_by_value
 from shelfcast.sources.sales import coercion_report, validate_sales
 from workloads.views import daily_sales, item_demand, part_demand, sale_lines, supplier_lines, table
@@ -313,6 +319,20 @@ def seasonal_arima_residuals(spark, sf_dir):
     )
 
 
+def forecast_run(spark, sf_dir):
+    """The whole forecast workflow of the seasonal model, history included, summed up per series."""
+    run = run_forecast(sale_lines(spark, sf_dir), "sarima", HORIZON, on_duplicate="sum")
+    return run.forecast.groupBy("store", "item", "model", "is_future").agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.avg("forecast").alias("mean_forecast"),
+        F.avg(F.col("ci_upper") - F.col("ci_lower")).alias("mean_width"),
+    )
+
+
+def model_scores(spark, sf_dir):
+    return score_models(sale_lines(spark, sf_dir), ["prophet", "sarima", "naive"], HORIZON, on_duplicate="sum")
+
+
 def champion(spark, sf_dir):
     return champion_forecast(
         sale_lines(spark, sf_dir), ["prophet", "sarima", "naive"], HORIZON, on_duplicate="sum"
@@ -464,6 +484,8 @@ REGISTERED = {
     "seasonal_arima_forecast": seasonal_arima_forecast,
     "seasonal_arima_params": seasonal_arima_params,
     "seasonal_arima_residuals": seasonal_arima_residuals,
+    "forecast_run": forecast_run,
+    "model_scores": model_scores,
     "champion_forecast": champion,
     "eoq_policy": eoq_policy,
     "eoq_without_uncertainty": eoq_without_uncertainty,
