@@ -1,7 +1,7 @@
 """Fit of one series by trend, seasonality, holidays and regressors (Taylor & Letham, 2018).
 
-The trend is piecewise linear in scaled time; the other terms are linear columns, either added to
-the trend or multiplying it. Coefficients are the posterior mode: normal priors give a ridge
+The trend is piecewise linear in scaled time; the other terms are linear, either added to the trend
+or multiplying it. Coefficients are the posterior mode: normal priors give a ridge
 penalty, the Laplace prior of the trend changes a reweighted one.
 """
 
@@ -26,10 +26,11 @@ class TrendOptions:
     changepoint_prior_scale: float = 0.05
 
 
-def fourier_columns(day: np.ndarray, period: float, order: int) -> np.ndarray:
-    """sin, cos pairs for k = 1..order."""
-    angle = 2 * np.pi * day[:, None] * np.arange(1, order + 1) / period
-    return np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(day), 2 * order)
+def fourier_terms(day: np.ndarray, period: float, order: int) -> np.ndarray:
+    """One row per term: sin, cos for k = 1..order. Terms are rows throughout, so that each is
+    contiguous in memory."""
+    angle = 2 * np.pi * np.arange(1, order + 1)[:, None] * day / period
+    return np.stack([np.sin(angle), np.cos(angle)], axis=1).reshape(2 * order, len(day))
 
 
 _tables: dict[tuple, np.ndarray] = {}
@@ -37,17 +38,17 @@ TABLE_STEP = 512
 MAX_TABLES = 64
 
 
-def seasonal_columns(first_day: int, steps: np.ndarray, period: float, order: int) -> np.ndarray:
-    """Fourier columns of the days ``first_day + steps``, from a table kept between series: most
+def seasonal_terms(first_day: int, steps: np.ndarray, period: float, order: int) -> np.ndarray:
+    """Fourier terms of the days ``first_day + steps``, from a table kept between series: most
     series, and all cutoffs of one series, start on the same day."""
     size = -(-(int(steps[-1]) + 1) // TABLE_STEP) * TABLE_STEP
     key = (first_day, size, period, order)
     if key not in _tables:
         if len(_tables) >= MAX_TABLES:
             _tables.clear()
-        _tables[key] = fourier_columns(first_day + np.arange(size, dtype=float), period, order)
+        _tables[key] = fourier_terms(first_day + np.arange(size, dtype=float), period, order)
     table = _tables[key]
-    return table[: len(steps)] if steps[-1] + 1 == len(steps) else table[steps]
+    return table[:, : len(steps)] if steps[-1] + 1 == len(steps) else table[:, steps]
 
 
 def changepoints(steps: np.ndarray, options: TrendOptions) -> np.ndarray:
@@ -57,8 +58,8 @@ def changepoints(steps: np.ndarray, options: TrendOptions) -> np.ndarray:
     return steps[np.linspace(0, max(early - 1, 0), count + 1).round().astype(int)[1:]]
 
 
-def fit_additive(steps, values, columns, prior_scales, multiplicative, options: TrendOptions) -> dict:
-    """``columns`` is (n, m); ``multiplicative`` marks the columns that scale the trend."""
+def fit_additive(steps, values, terms, prior_scales, multiplicative, options: TrendOptions) -> dict:
+    """``terms`` has one row per term; ``multiplicative`` marks those that scale the trend."""
     if len(values) < 2:
         raise ValueError("a series needs at least 2 observations")
     span = float(steps[-1] - steps[0])
@@ -68,14 +69,14 @@ def fit_additive(steps, values, columns, prior_scales, multiplicative, options:
     knots = changepoints(steps, options)
     knot_t = (knots - steps[0]) / span
     n_trend = 2 + len(knots)
-    design = np.empty((len(y), n_trend + columns.shape[1]))
-    design[:, 0] = 1.0
-    design[:, 1] = t
-    np.maximum(t[:, None] - knot_t, 0, out=design[:, 2:n_trend])
-    design[:, n_trend:] = columns
+    design = np.empty((n_trend + len(terms), len(y)))
+    design[0] = 1.0
+    design[1] = t
+    np.maximum(t - knot_t[:, None], 0, out=design[2:n_trend])
+    design[n_trend:] = terms
 
     cap = (options.cap or 0.0) / scale
-    theta = np.zeros(design.shape[1])
+    theta = np.zeros(len(design))
     plain = options.growth == "linear" and not multiplicative.any()
     if options.growth == "logistic":
         share = np.clip(y / cap, 0.01, 0.99)
@@ -92,9 +93,9 @@ def fit_additive(steps, values, columns, prior_scales, multiplicative, options:
     for round_ in range(MAX_ROUNDS):
         if not plain:
             fitted, jacobian = _linearise(theta, design, n_trend, multiplicative, options.growth, cap)
-            response = y - fitted + jacobian @ theta
+            response = y - fitted + theta @ jacobian
         if round_ == 0 or not plain:
-            gram, target, power = jacobian.T @ jacobian, jacobian.T @ response, response @ response
+            gram, target, power = jacobian @ jacobian.T, jacobian @ response, response @ response
         penalised = gram.copy()
         penalised.flat[:: len(theta) + 1] += noise * precision
         previous, theta = theta, np.linalg.solve(penalised, target)
@@ -104,7 +105,7 @@ def fit_additive(steps, values, columns, prior_scales, multiplicative, options:
         if np.max(np.abs(theta - previous)) < TOLERANCE:
             break
 
-    fitted = design @ theta if plain else _linearise(theta, design, n_trend, multiplicative, options.growth, cap)[0]
+    fitted = theta @ design if plain else _linearise(theta, design, n_trend, multiplicative, options.growth, cap)[0]
     changes = theta[2:n_trend]
     return {
         "scale": scale,
@@ -122,16 +123,16 @@ def fit_additive(steps, values, columns, prior_scales, multiplicative, options:
 
 def _linearise(theta, design, n_trend, multiplicative, growth, cap):
     """Model values and their derivatives at ``theta``."""
-    line = design[:, :n_trend] @ theta[:n_trend]
+    line = theta[:n_trend] @ design[:n_trend]
     if growth == "logistic":
         share = 1 / (1 + np.exp(-line))
         trend, inner = cap * share, cap * share * (1 - share)
     else:
         trend, inner = line, np.ones_like(line)
-    columns, effect = design[:, n_trend:], theta[n_trend:]
-    factor = 1 + columns @ np.where(multiplicative, effect, 0)
-    fitted = trend * factor + columns @ np.where(multiplicative, 0, effect)
+    terms, effect = design[n_trend:], theta[n_trend:]
+    factor = 1 + np.where(multiplicative, effect, 0) @ terms
+    fitted = trend * factor + np.where(multiplicative, 0, effect) @ terms
     jacobian = design.copy()
-    jacobian[:, :n_trend] *= (inner * factor)[:, None]
-    jacobian[:, n_trend:] *= np.where(multiplicative[None, :], trend[:, None], 1.0)
+    jacobian[:n_trend] *= inner * factor
+    jacobian[n_trend:][multiplicative] *= trend
     return fitted, jacobian

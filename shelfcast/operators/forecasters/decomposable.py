@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions import additive_fit
-from shelfcast.functions.additive_fit import TrendOptions, fit_additive, seasonal_columns
+from shelfcast.functions.additive_fit import TrendOptions, fit_additive, seasonal_terms
 from shelfcast.operators.forecasters import per_series
 from shelfcast.operators.forecasters.base import Forecaster
 from shelfcast.operators.forecasters.per_series import per_series_udf, require_finite
@@ -170,21 +170,21 @@ class DecomposableForecaster(Forecaster):
         def fit(start, steps, values, *extras):
             require_finite(values, *extras)
             first = (start - date(1970, 1, 1)).days
-            columns = []
+            terms = []
             for period, order, min_span in seasonalities:
-                block = seasonal_columns(first, steps, period, order)
+                block = seasonal_terms(first, steps, period, order)
                 # Weekly terms need two weeks of history and observations closer than a week.
                 usable = not min_span or (steps[-1] - steps[0] >= min_span and np.diff(steps).min() < period)
-                columns.append(block if usable else 0 * block)
+                terms.append(block if usable else 0 * block)
             means, deviations = [], []
             for x, standardize in zip(extras, standardized):
                 spread = float(x.std()) if standardize else 0.0
                 means.append(float(x.mean()) if spread else 0.0)
                 deviations.append(spread or 1.0)
-                columns.append(((x - means[-1]) / deviations[-1])[:, None])
+                terms.append(((x - means[-1]) / deviations[-1])[None, :])
             for days in holidays:
-                columns.append(np.isin(steps + first, days).astype(float)[:, None])
-            fitted = fit_additive(steps, values, np.hstack(columns), priors, multiplicative, options)
+                terms.append(np.isin(steps + first, days).astype(float)[None, :])
+            fitted = fit_additive(steps, values, np.vstack(terms), priors, multiplicative, options)
             return {**fitted, "means": means, "deviations": deviations}
 
         return per_series_udf(fit, FIT_FIELDS)
