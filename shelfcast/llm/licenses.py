@@ -102,11 +102,10 @@ def bands_needed(similarity: float, rows: int, certainty: float) -> int:
 
 
 def band_keys(hashes: Column, bands: int, rows: int) -> Column:
-    """MinHash of the shingle hashes, ``rows`` minima to a band."""
+    """Hashes of the bands of MinHash values, ``rows`` minima to a band."""
     minimum = lambda j: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j)))
-    minima = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), minimum)
     return F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice(minima, k * rows + 1, F.lit(rows)))
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, *(minimum(k * rows + j) for j in range(rows)))
     )
 
 
@@ -114,26 +113,30 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "license_id string, template string")
 
 
-def _windows_around(w: WindowSize, size: int) -> Column:
-    """The windows of one size that hold a shingle of ``hits``."""
-    numbers = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "hits",
-                lambda i: F.sequence(
-                    F.greatest(F.lit(0), F.ceil((i - (w.width - 1)) / w.stride).cast("int")),
-                    F.floor(i / w.stride).cast("int"),
-                ),
-            )
-        )
-    )
+def _windows_around(hit: Column, w: WindowSize) -> Column:
+    """The windows of one size that hold the shingle at ``hit``."""
+    low = F.greatest(F.lit(0), F.ceil((hit - (w.width - 1)) / w.stride).cast("int"))
     return F.transform(
-        numbers,
+        F.sequence(low, F.floor(hit / w.stride).cast("int")),
         lambda k: F.struct(
-            F.lit(w.largest).alias("size"),
-            (k * w.stride).alias("first"),
-            F.slice("words", k * w.stride + 1, F.lit(w.width + size - 1)).alias("own"),
-            F.slice("hashes", k * w.stride + 1, F.lit(w.width)).alias("own_hashes"),
+            F.lit(w.largest).alias("size"), (k * w.stride).alias("first"), F.lit(w.width).alias("width")
+        ),
+    )
+
+
+def _windows_to_look_at(known: list[int], sizes: list[WindowSize], size: int) -> Column:
+    """Windows of a text's ``words`` and ``hashes`` that hold a known shingle hash; others share no minimum with any
+    template. Each part is evaluated once: nothing that lambdas call is computed inside them."""
+    marked = F.transform("hashes", lambda h, i: F.struct(i.alias("i"), h.alias("h")))
+    hits = F.filter(marked, lambda m: m["h"].isin(known))
+    places = F.flatten(F.transform(hits, lambda m: F.concat(*(_windows_around(m["i"], w) for w in sizes))))
+    return F.transform(
+        F.array_distinct(places),
+        lambda x: F.struct(
+            x["size"].alias("size"),
+            x["first"].alias("first"),
+            F.slice("words", x["first"] + 1, x["width"] + (size - 1)).alias("own"),
+            F.slice("hashes", x["first"] + 1, x["width"]).alias("own_hashes"),
         ),
     )
 
@@ -147,16 +150,12 @@ def _pass(docs: DataFrame, rows: list, size: int, least: float, certainty: float
     bands = max(
         bands_needed(w.similarity(len(r["shingles"]), least), ROWS, certainty) for w, own in by_size.items() for r in own
     )
-    found = docs.withColumn("words", words_of(F.col("text")))
-    found = found.withColumn("hashes", shingle_hashes(F.col("words"), size)).withColumn(
-        "at", _windows_at(F.col("words"), size)
-    )
     known = sorted({h for r in rows for h in r["hashes"]})
-    # a window without a template's shingle shares no minimum with it: only those around hits are looked at
-    found = found.withColumn("hits", F.filter("at", lambda i: F.element_at("hashes", i + 1).isin(known)))
-    found = found.where(F.size("hits") > 0)
-    windows = [_windows_around(w, size) for w in by_size]
-    found = found.select("doc_id", "digest", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "digest", "w.*")
+    found = docs.withColumn("words", words_of(F.col("text")))
+    found = found.select("doc_id", "digest", "words", shingle_hashes(F.col("words"), size).alias("hashes"))
+    # exploded straight away: a filter on the windows would be pushed down and computed within lambdas
+    found = found.select("doc_id", "digest", F.explode(_windows_to_look_at(known, list(by_size), size)).alias("w"))
+    found = found.select("doc_id", "digest", "w.*")
     found = found.withColumn("band", F.explode(band_keys(F.col("own_hashes"), bands, ROWS)))
     templates = spark.createDataFrame(
         [(WindowSize.of(len(r["shingles"])).largest, r["license_id"], r["template_no"], r["hashes"], r["shingles"]) for r in rows],

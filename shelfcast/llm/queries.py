@@ -238,7 +238,7 @@ def _quoted(text: str) -> str:
 
 def _license_sql() -> str:
     size = licenses.SHINGLE_WORDS
-    split = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+    split = r"[x FOR x IN string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
     rows = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(licenses.TEMPLATES))
     steps = sorted({n: licenses.WindowSize.of(n) for n in range(1, 200)}.items())
     sizes = ", ".join(f"({n}, {w.largest}, {w.stride}, {w.width})" for n, w in steps)
