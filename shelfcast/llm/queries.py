@@ -261,7 +261,7 @@ hits AS (
 met AS (
   SELECT doc_id, license_id, t, words, n, width, k * stride AS first, count(DISTINCT s) / n AS containment
   FROM hits, unnest(range(greatest(0, CAST(ceil((i - (width - 1)) / stride) AS BIGINT)), i // stride + 1)) AS u(k)
-  GROUP BY ALL
+  GROUP BY doc_id, license_id, t, words, n, width, k * stride
 )
 SELECT doc_id, license_id, round(max(containment), 6) AS containment, CAST(min(first) AS BIGINT) AS first_word,
   CAST(max(least(first + width + {size - 1}, words)) AS BIGINT) AS last_word, count(*) AS n_windows

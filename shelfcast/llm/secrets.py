@@ -94,7 +94,7 @@ def _walk(items) -> tuple[set[str] | None, object]:
         elif op is rc.BRANCH:
             found = [_walk(x) for x in arg[1]]
             part = None if any(s is None for s, _ in found) else set().union(*(s for s, _ in found))
-            query = _both("or", [_both("and", [q, _of_strings(s)]) for s, q in found])
+            query = True if part is not None else _both("or", [_both("and", [q, _of_strings(s)]) for s, q in found])
         elif op is rc.MAX_REPEAT or op is rc.MIN_REPEAT:
             low, high, inner = arg
             strings, query = _walk(inner)
