@@ -154,7 +154,8 @@ def _single_windows(length: int):
 def _same_document(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     """Join of rows by document, null ids included; keeps a's columns doc_id and digest."""
     b = b.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    return a.join(b, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), how).drop("_id", "_digest")
+    # merged at every size: what is wanted of the documents grows with them, so it is never broadcast
+    return a.join(b.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), how).drop("_id", "_digest")
 
 
 def repeated_spans(
@@ -175,7 +176,8 @@ def repeated_spans(
     base = _keyed(docs, doc_id, text)
     rows = _anchor_rows(base, length, gram)
     repeated = rows.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
-    candidates = written(rows.join(repeated, "gram"))
+    # written first: between two plain exchanges the join can deal out a frequent anchor's rows over many tasks
+    candidates = written(rows.join(written(repeated), "gram"))
     distinct = candidates.groupBy(*_STRETCH).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "at")).alias("place")
     )
