@@ -18,7 +18,7 @@ from shelfcast.session import ship_by_value
 ship_by_value(sys.modules[__name__])
 
 # Texts are handled in blocks of about this many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +121,8 @@ def maximal_repeats(places: np.ndarray, shared: np.ndarray, before: np.ndarray)
     return found
 
 
-def _block(data: bytes, offsets: np.ndarray, least: int) -> dict[str, np.ndarray]:
-    n = len(offsets) - 1
+def _block(part: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    n, data = len(offsets) - 1, part.tobytes()
     ids: defaultdict[bytes, int] = defaultdict(count().__next__)
     words, dup_lines = [], np.zeros(n, np.int64)
     for i in range(n):
@@ -136,6 +135,8 @@ def _block(data: bytes, offsets: np.ndarray, least: int) -> dict[str, np.ndarray
     n_words = np.array([len(x) for x in words], np.int64)
     bounds = np.concatenate([[0], np.cumsum(n_words)])
     out = {"n_words": n_words, "n_dup_lines": dup_lines}
+    out["word_chars"] = _totals((part & 0xC0) != 0x80, offsets) - _totals(_marks(SPACES)[part], offsets)
+    out["n_symbols"] = _totals(_marks(SYMBOLS)[part], offsets)
     out |= {k: np.zeros(n, np.int64) for k in ("n_repeat_words", "n_repeats", "repeat_covered", "longest_repeat")}
     if not bounds[-1]:
         return out
@@ -183,17 +184,13 @@ def _block(data: bytes, offsets: np.ndarray, least: int) -> dict[str, np.ndarray
 
 def repetition(texts: pa.Array, least: int = MIN_REPEAT_WORDS) -> pa.Array:
     """Measures of each text (see RESULT); null is the empty text."""
-    flat_data, offsets = flat(texts)
-    raw = flat_data.tobytes()
-    parts = [_block(raw, offsets[a : b + 1], least) for a, b in blocks(offsets)]
-    if not parts:
-        return pa.array([], pa.struct([(x.split(":")[0], pa.int64()) for x in RESULT[7:-1].split(",")]))
-    got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    got["word_chars"] = chars - _totals(_marks(SPACES)[flat_data], offsets)
-    got["n_symbols"] = _totals(_marks(SYMBOLS)[flat_data], offsets)
+    data, offsets = flat(texts)
     names = [x.split(":")[0] for x in RESULT[7:-1].split(",")]
-    return pa.StructArray.from_arrays([pa.array(got[k], pa.int64()) for k in names], names)
+    parts = [
+        _block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least) for a, b in blocks(offsets)
+    ]
+    columns = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.int64()) for k in names]
+    return pa.StructArray.from_arrays(columns, names)
 
 
 def add_quality(

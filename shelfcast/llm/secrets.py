@@ -248,9 +248,10 @@ def masked(texts: pa.Array, spans: pa.Array, mark: Callable[[str], str]) -> pa.A
 def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET:kind]``; all rows and columns stay."""
 
-    def run(rows: pa.Array) -> pa.Array:
-        return masked(rows.field("text"), rows.field("spans"), lambda kind: f"[SECRET:{kind}]")
+    scanner = SecretScan(rules)
 
-    found = add_secrets(docs, text, "_secrets", rules)
-    clean = column_udf(run, "string")(F.struct(F.col(text).alias("text"), F.col("_secrets").alias("spans")))
-    return found.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(texts: pa.Array) -> pa.Array:
+        return masked(texts, scanner.scan(texts), lambda kind: f"[SECRET:{kind}]")
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(text, column_udf(run, "string")(F.col(text))).select(*names)
