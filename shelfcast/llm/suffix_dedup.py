@@ -191,8 +191,7 @@ def repeated_spans(
     schema = "gram bigint, stretch bigint, lead int, spread int, n bigint, kinds bigint, bytes binary"
     fetched = _same_document(base, by_document, "inner").select("text", "wants").mapInArrow(_cut(length), schema)
     hot = grams.where(F.col("kinds") > stretches).limit(1).count() > 0
-    if hot:
-        fetched = written(fetched)
+    # not written in between: within one job all uses share one shuffle of the texts
     ordered = fetched.where(F.col("kinds") <= stretches).repartition("gram").sortWithinPartitions("gram")
     found = ordered.mapInArrow(_sort_blocks(length, sort_bytes), _FOUND_SQL)
     if hot:
