@@ -21,6 +21,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Documents whose remainders are packed by one task.
 GROUP_DOCUMENTS = 16_384
+#: Copies of one row that go to the same group; further ones go to others.
+GROUP_COPIES = 1024
 
 
 def best_fill(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -150,7 +152,8 @@ def pack_documents(
     document's ids, ``ids_crc32`` of the piece (unsigned 32-bit little-endian ids), ``doc_tokens``, ``sequence_id``,
     ``offset`` in the sequence, ``padded_length`` of the sequence (``capacity``, or a power of two that it fills
     exactly). A document fills as many whole sequences as it can; what remains is kept in one piece and placed by
-    minimum bin slack among the remainders of a group of about ``group_documents`` documents.
+    minimum bin slack among the remainders of a group of about ``group_documents`` documents. Repeated rows are
+    counted first and dealt to the groups by the thousand, so that no group grows with the copies of one row.
 
     tokenizer: path of a ``tokenizers`` file that every executor can read. A null or empty text has the end id
     alone. Repeated rows are packed once each, null ids like others; further columns are left out. An empty table
@@ -162,9 +165,14 @@ def pack_documents(
     counted = base.select("doc_id", text_digest("text").alias("digest"), check(F.col("text")).alias("found"))
     counted = written(counted.select("doc_id", "digest", "found.tokens", "found.checks"))
     groups = 1 + counted.count() // group_documents
-    group = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(groups)).alias("group")
+    per_row = counted.groupBy("doc_id", "digest").agg(F.max(F.struct("tokens", "checks")).alias("found"), F.count("*").alias("copies"))
+    shares = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {GROUP_COPIES}"))
+    dealt = per_row.select("doc_id", "digest", "found.*", "copies", F.explode(shares).alias("share"))
+    group = F.pmod(F.xxhash64("doc_id", "digest", "share"), F.lit(groups)).alias("group")
+    own = F.least(F.col("copies") - F.col("share") * GROUP_COPIES, F.lit(GROUP_COPIES)).cast("int")
+    dealt = dealt.select(group, "doc_id", "digest", "tokens", "checks", F.explode(F.array_repeat(F.lit(0), own)).alias("_")).drop("_")
     schema = (
         "doc_id bigint, digest bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
         "sequence_id bigint, offset bigint, padded_length bigint"
     )
-    return counted.select(group, "*").groupBy("group").applyInArrow(pack_group(capacity), schema)
+    return dealt.groupBy("group").applyInArrow(pack_group(capacity), schema)
