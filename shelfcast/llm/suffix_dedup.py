@@ -210,7 +210,8 @@ def repeated_spans(
         lambda b: F.struct((first + b["first"]).alias("start"), (first + b["last"] + length).alias("end")),
     )
     hits = candidates.join(marks, _STRETCH).select("doc_id", "digest", ranges.alias("windows"))
-    return hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    # a set: copies of one row have the same ranges, and must not add up in one group
+    return hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_set("windows")).alias("windows"))
 
 
 def _removed(batch_windows: list | None) -> list[tuple[int, int]]:
