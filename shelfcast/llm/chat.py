@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm.common import column_udf
 from shelfcast.llm.tokens import Encoder
 from shelfcast.session import ship_by_value
 
@@ -86,20 +87,26 @@ def laid_out(turns: list[Turn], repeated: int) -> tuple[str, list[dict[str, int]
     return "".join(parts), loss
 
 
+def turn_tokens(turns: pa.Array, encoder: Encoder) -> pa.Array:
+    """Tokens of each formatted turn (role, text)."""
+    frame, out = len(encoder.ids(f"{BEGIN}{END}\n")), []
+    for role, text in zip(turns.field("role").to_pylist(), turns.field("text").to_pylist(), strict=True):
+        out.append(frame + len(encoder.ids(f"{escape_role(role)}\n")) + len(encoder.ids(escape(text))))
+    return pa.array(out, pa.int64())
+
+
 class WindowWriter:
     """Turns of conversations in order come in, windows go out; holds one window at a time."""
 
-    def __init__(self, encoder: Encoder, budget: int, history: int):
-        self.encoder, self.budget, self.history = encoder, budget, history
-        self.frame = len(encoder.ids(f"{BEGIN}{END}\n"))
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
         self.conv, self.open = None, None
         self.recent: deque[Turn] = deque()
 
-    def turn(self, conv, role: str, text: str) -> Iterator[dict]:
+    def turn(self, conv, role: str, text: str, tokens: int) -> Iterator[dict]:
         if self.open is None or conv != self.conv:
             yield from self.close()
             self.conv, self.open, self.recent = conv, Window(), deque()
-        tokens = self.frame + len(self.encoder.ids(f"{escape_role(role)}\n")) + len(self.encoder.ids(escape(text)))
         turn, w = Turn(role, text, tokens), self.open
         if w.new and w.tokens + tokens > self.budget:
             yield self._row()
@@ -183,14 +190,15 @@ def format_windows(
     a null conversation form one conversation of that id; repeated rows are repeated turns. Conversations are
     streamed in order: a task holds one window, however long the conversation. An empty table gives an empty one.
     """
-    encoder = Encoder(tokenizer)
+    encoder, columns = Encoder(tokenizer), ["conv", "role", "text", "tokens"]
+    count = column_udf(lambda turns: turn_tokens(turns, encoder), "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            writer = WindowWriter(encoder, budget, history)
+            writer = WindowWriter(budget, history)
             for batch in batches:
-                for conv, who, what in zip(*(batch.column(k).to_pylist() for k in ("conv", "role", "text")), strict=True):
-                    yield from writer.turn(conv, who, what)
+                for turn in zip(*(batch.column(k).to_pylist() for k in columns), strict=True):
+                    yield from writer.turn(*turn)
             yield from writer.close()
 
         return _batches(rows(), _WINDOWS)
@@ -201,8 +209,10 @@ def format_windows(
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    ordered = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return ordered.select("conv", "role", "text").mapInArrow(run, WINDOW_SCHEMA)
+    # tokens are counted where the rows lie, before a long conversation's turns come together
+    counted = turns.withColumn("tokens", count(F.struct("role", "text")))
+    ordered = counted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    return ordered.select(*columns).mapInArrow(run, WINDOW_SCHEMA)
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
