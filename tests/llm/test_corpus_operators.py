@@ -97,6 +97,17 @@ def test_packing_odd_rows(odd_docs, no_docs):
     assert packing.pack_documents(no_docs, Q.TOKENIZER).collect() == []
 
 
+def test_copies_of_one_row_go_to_several_groups(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_COPIES", 50)
+    docs = make_docs([(1, "same words")] * 420 + [(None, None)] * 101 + [(2, "other")])
+    rows = packing.pack_documents(docs, Q.TOKENIZER, group_documents=64).collect()
+    assert Counter(r.doc_id for r in rows) == {1: 420, None: 101, 2: 1}
+    groups = Counter(r.sequence_id >> 32 for r in rows if r.doc_id == 1)
+    assert len(groups) > 2 and all(n % 50 in (0, 20) for n in groups.values())
+    for pieces in Counter((r.sequence_id, r.offset) for r in rows).values():
+        assert pieces == 1
+
+
 # ---------------------------------------------------------------- suffix sorting
 
 
@@ -153,6 +164,9 @@ def test_dedup_odd_rows(odd_docs, no_docs):
     rows = suffix_dedup.without_repeats(odd_docs).collect()
     assert len(rows) == 10
     assert {r.doc_id for r in rows if r.removed} == {4, 8}  # copies of each other
+    spans = suffix_dedup.repeated_spans(odd_docs.unionByName(odd_docs).unionByName(odd_docs))
+    for r in spans.collect():  # each range once, however many copies the row has
+        assert len({tuple(w) for w in r.windows}) == len(r.windows)
     assert suffix_dedup.without_repeats(no_docs).collect() == []
 
 
