@@ -130,8 +130,10 @@ _AT_MARK = r"\x20?(?:\[\x20?(?:at|@)\x20?\]|\(\x20?(?:at|@)\x20?\)|\{\x20?(?:at|
 _AT_WORD = r"\x20at\x20|_at_"
 _DOT = r"\x20?(?:\[\x20?(?:dot|\.)\x20?\]|\(\x20?(?:dot|\.)\x20?\)|\{\x20?(?:dot|\.)\x20?\}|<\x20?(?:dot|\.)\x20?>)\x20?|\x20dot\x20|_dot_"
 _SIGN = re.compile(rf"(?P<at>{_AT_MARK}|{_AT_WORD})|(?P<dot>{_DOT})", re.IGNORECASE)
+# "_dot_" is never part of a label: with one way to read a text, a long run of them takes linear time.
+_LABEL = r"(?:[A-Za-z0-9%+-]|_(?!dot_))+?"
 _ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+?(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+?){{0,4}}"
+    rf"(?<![A-Za-z0-9._%+-]){_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{0,4}}"
     rf"(?:(?P<at>@|{_AT_MARK})|(?P<word>{_AT_WORD}))[A-Za-z0-9-]+(?P<tail>(?:(?:\.|{_DOT})[A-Za-z0-9-]+){{1,6}})",
     re.IGNORECASE,
 )

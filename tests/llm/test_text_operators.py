@@ -81,6 +81,12 @@ def test_prose_has_no_disguises(text):
     assert pii.find(text) == []
 
 
+def test_long_runs_of_disguised_dots_take_linear_time():
+    text = "x_dot_" * 20_000 + " then ann_dot_lee_at_mail_dot_org dot"
+    found = pii.find(text)
+    assert [(text[s:e], value) for s, _, e, value, _ in found] == [("ann_dot_lee_at_mail_dot_org", "ann.lee@mail.org")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="a1é.​ ", max_size=30), st.randoms())
 def test_offsets_survive_edits(text, random):
