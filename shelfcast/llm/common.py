@@ -77,6 +77,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(docs: DataFrame, stem: str) -> str:
+    """``stem``, behind as many underscores as it takes to differ from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def text_digest(column: Column | str = "text") -> Column:
     """Distinguishes rows that share a document id; null and the empty text differ from each other."""
     return F.xxhash64(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("\0null")))

@@ -6,15 +6,15 @@ end; where a block ends some window, the bucket of that block gives the windows
 
 from __future__ import annotations
 
-import hashlib
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import blocks, column_udf, flat
+from shelfcast.llm.common import blocks, column_udf, flat, unused_name, written
 from shelfcast.session import ship_by_value
 
 ship_by_value(sys.modules[__name__])
@@ -164,20 +164,16 @@ def _united(old: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array(rows, new.type)
 
 
-def items_digest(items: list[str] | None) -> str:
-    return hashlib.sha256(",".join(items or []).encode()).hexdigest()
-
-
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about ``size`` bytes of text, so that what a search holds is bounded."""
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of about ``size`` bytes of text, one after the other, so that what the driver and a search
+    hold is bounded."""
     rows = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     n = 1 + int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // size
-    if n == 1:
-        return [[(r["item"], r["text"]) for r in rows.collect()]]
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r["item"], r["text"]) for r in placed.where(F.col("block") == k).collect()] for k in range(n)]
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    for k in range(n):
+        yield [(r["item"], r["text"]) for r in rows.where(block == k).collect()]
 
 
 def add_benchmark_hits(
@@ -199,8 +195,9 @@ def add_benchmark_hits(
 
     Null texts and texts without words have no hits and are clean; items without words are never found; an item
     without id counts as the item of the empty name, and repeated items count once. Rows are judged one by one,
-    so repeated ids do not matter; an existing column ``into`` is replaced. The benchmark is sent to the tasks
-    in blocks of about ``block_bytes``, one pass over the documents for each block; it may be empty.
+    so repeated ids do not matter; an existing column ``into`` is replaced. The benchmark, which may be empty, is
+    sent to the tasks in blocks of about ``block_bytes``: one pass over the documents for each block, and what the
+    earlier ones found is written before the next, so that the driver and each task hold one block.
     """
     for k, items in enumerate(benchmark_blocks(benchmark, item, item_text, block_bytes)):
         search = WindowSearch(items, window)
@@ -211,7 +208,7 @@ def add_benchmark_hits(
         def again(rows: pa.Array, search=search) -> pa.Array:
             return _united(rows.field("old"), search.search(rows.field("text")))
 
-        docs = docs.withColumn(
+        docs = written(docs).withColumn(
             into, column_udf(again, RESULT)(F.struct(F.col(into).alias("old"), F.col(text).alias("text")))
         )
     hits = F.aggregate(F.col(into)["spans"], F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -222,6 +219,6 @@ def add_benchmark_hits(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns they had."""
-    into = "_hits"
+    into = unused_name(docs, "_hits")
     found = add_benchmark_hits(docs, benchmark, into=into, **options)
     return found.where(~F.col(into)["contaminated"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import blocks, column_udf, flat
+from shelfcast.llm.common import blocks, column_udf, flat, unused_name
 from shelfcast.session import ship_by_value
 
 ship_by_value(sys.modules[__name__])
@@ -223,5 +223,5 @@ def add_quality(
 
 def kept_by_quality(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns they had."""
-    into = "_quality"
+    into = unused_name(docs, "_quality")
     return add_quality(docs, into=into, **options).where(F.col(into)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

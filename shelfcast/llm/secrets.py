@@ -220,12 +220,6 @@ def add_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", rule
     return docs.withColumn(into, column_udf(SecretScan(rules).scan, SPANS)(F.col(text)))
 
 
-def span_text(spans, kinds: list[str] | None = None):
-    """``kind:start:end`` of the spans (of some kinds), comma-joined."""
-    chosen = spans if kinds is None else F.filter(spans, lambda s: s["kind"].isin(kinds))
-    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-
 def masked(texts: pa.Array, spans: pa.Array, mark: Callable[[str], str]) -> pa.Array:
     """The texts with each stretch of overlapping spans replaced by a mark of its first span's kind."""
     out = []

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import blocks, column_udf, components, flat, text_digest, written
+from shelfcast.llm.common import blocks, column_udf, components, flat, text_digest, unused_name, written
 from shelfcast.session import ship_by_value
 
 ship_by_value(sys.modules[__name__])
@@ -231,12 +231,14 @@ def add_components(
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each component, with the columns it had: the one with the smallest id (of equal ids
-    one with the smallest digest of its text; ids before null)."""
+    one with the smallest digest of its text; ids before null). Further columns may have any names."""
     found = add_components(docs, doc_id, text, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     chosen = found.groupBy("component").agg(first)
-    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    keyed = docs.withColumn("_own_id", F.col(f"`{doc_id}`")).withColumn("_own_digest", text_digest(text))
-    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
-    kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["_own_id", "_own_digest"])
+    own_id, own_digest = unused_name(docs, "_own_id"), unused_name(docs, "_own_digest")
+    key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("\0null"))
+    chosen = chosen.select(key("first.doc_id").alias(own_id), F.col("first.digest").alias(own_digest))
+    keyed = docs.withColumns({own_id: key(f"`{doc_id}`"), own_digest: text_digest(text)})
+    # plain equality on the columns that repeated rows are dropped by: one shuffle of the texts serves both
+    kept = keyed.join(chosen, [own_id, own_digest], "left_semi").dropDuplicates([own_id, own_digest])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -393,3 +393,22 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd_docs, sf_dir).columns == odd_docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, odd_docs.limit(0), sf_dir).collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    names = ["_id", "_digest", "_own_id", "_Own_Digest", "_quality", "_hits", "node", "fp", "component", "least"]
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(i, words[i % 3], *[f"{n} {i}" for n in names]) for i in range(6)]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == rows[: 3 if number == 1 else 6]
+
+
+def test_repeated_rows_leave_one(make_docs):
+    docs = make_docs([(1, "a b c"), (1, "a b c"), (None, "x y"), (None, "x y"), (2, "a b c"), (3, None), (3, "")])
+    kept = simhash.one_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.text) == [(0, "x y"), (1, "a b c")]
+    assert [r.doc_id for r in kept if not r.text] == [3]
