@@ -119,35 +119,51 @@ def smaller_than_successor(data: np.ndarray) -> np.ndarray:
     return rising[np.searchsorted(turn, np.arange(n))]
 
 
+def _runs(new: np.ndarray) -> np.ndarray:
+    """Lengths of the runs whose first entries are marked."""
+    return np.diff(np.append(np.flatnonzero(new), len(new)))
+
+
 def sorted_directly(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes at ``places`` sorted by their first ``depth`` bytes and a few more: eight bytes at a time, and only
-    those that still tie."""
+    """Suffixes at ``places`` sorted by their first ``depth`` bytes and a few more, eight bytes at a time.
+
+    Suffixes that tie are neighbours and form a group, named by the slot of its first one. Groups whose members go
+    on alike are left as they are; the others are sorted and split, and suffixes that then stand alone are done.
+    """
     n = len(words) - 1
     places = places[np.argsort(words[places], kind="stable")]
+    if not len(places):
+        return places
     key = words[places]
-    open_, group = _ties(np.arange(len(places)), key, np.zeros(len(places), np.int64))
-    done = 8
-    while len(open_) and done < depth:
-        at = places[open_]
-        key = words[np.minimum(at + done, n)]
-        order = np.argsort(key)
-        dense = group[order].astype(np.uint16) if len(open_) and group[-1] < 1 << 16 else group[order]
-        order = order[np.argsort(dense, kind="stable")]
-        places[open_] = at[order]
-        open_, group = _ties(open_, key[order], group)
-        done += 8
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    size = _runs(new)
+    open_ = np.flatnonzero(np.repeat(size > 1, size))
+    group = np.repeat(np.flatnonzero(new), size)[open_]
+    mixed = np.zeros(len(places), bool)
+    for done in range(8, depth, 8):
+        if not len(open_):
+            break
+        key = words[np.minimum(places[open_] + done, n)]
+        apart = group[1:][(key[1:] != key[:-1]) & (group[1:] == group[:-1])]
+        if not len(apart):
+            continue
+        mixed[apart] = True
+        rows = np.flatnonzero(mixed[group])
+        mixed[apart] = False
+        own, slots = group[rows], open_[rows]
+        order = np.lexsort((key[rows], own))
+        places[slots], key = places[slots[order]], key[rows[order]]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+        size = _runs(new)
+        group[rows] = np.repeat(slots[new], size)
+        alone = rows[np.repeat(size == 1, size)]
+        if len(alone):
+            keep = np.ones(len(open_), bool)
+            keep[alone] = False
+            open_, group = open_[keep], group[keep]
     return places
 
 
-def _ties(index: np.ndarray, key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries sorted by group and key: the index of those that equal a neighbour, and their new groups' numbers."""
-    if not len(index):
-        return index, group
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
-    tied = ~(new & np.append(new[1:], True))
-    return index[tied], np.cumsum(new[tied]) - 1
-
-
 def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``data`` in the order of their first ``depth`` bytes (ties in any order).
 
