@@ -82,7 +82,7 @@ LOOKALIKES = {
     "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "З": "3",
     "α": "a", "γ": "y", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "օ": "o", "ո": "n", "ս": "u",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "İ": "I", "ɑ": "a", "ɡ": "g", "օ": "o", "ո": "n", "ս": "u",
     "\u2024": ".", "\u3002": ".", "\u00b7": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-",
     "\u2014": "-", "\u2212": "-", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u3000": " ",
 }
@@ -141,29 +141,41 @@ _DOTTED_NUMBER = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3
 _DOT_ONLY = re.compile(_DOT, re.IGNORECASE)
 _PLUS = re.compile(r"(?<!\w)plus\x20(?=[0-9])", re.IGNORECASE)
 
-# What a text must hold for a transducer to make an identifier of it: cheap tests, run on every text.
+# What a text must hold for a transducer to replace anything: cheap tests, run on every text. Each is implied by its
+# transducer, so that a text that fails them all is its own normalised text.
 _SIGN_HINT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", re.IGNORECASE)
-_LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
-_RUN_WORDS = frozenset([*(w.encode() for w in DIGIT_WORDS), b"dot", b"plus"])
-_RUN = b"\x01" * 4
-_CHANGED = re.compile(
-    "[" + re.escape("".join([*LOOKALIKES, *INVISIBLE])) + "\u0660-\u0669\u06f0-\u06f9\uff01-\uff5e\U0001d400-\U0001d7ff]"
-)
+_LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 else 32 for x in range(256))
+_ASCII_DIGIT_WORDS = frozenset(w.encode() for w in DIGIT_WORDS if w.isascii())
+_OTHER_DIGIT_WORDS = tuple(w for w in DIGIT_WORDS if not w.isascii())
+
+
+def _ranges(codes: list[int]) -> str:
+    """Inside of a character class of ascending code points."""
+    ends = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code == ends[-1][1] + 1:
+            ends[-1][1] = code
+        else:
+            ends.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends)
+
+
+_CHANGED = re.compile(f"[{_ranges([i for i in range(128, sys.maxunicode + 1) if _glyph(chr(i)) is not None])}]")
 
 
 def _hints(text: str) -> tuple[bool, bool, bool]:
-    """Whether a text may hold lookalikes, spelled numbers, disguised signs."""
-    try:
-        text.encode("latin-1")
-        glyphs = "\u00a0" in text or "\u00ad" in text or "\u00b7" in text
-    except UnicodeEncodeError:
-        glyphs = _CHANGED.search(text) is not None
+    """Whether a text may hold lookalikes, spelled digits, disguised signs."""
+    plain = text.isascii()
+    glyphs = not plain and _CHANGED.search(text) is not None
     if glyphs:
         text = text.translate(_GLYPHS)
+    # Words of ASCII letters between any other characters: the transducers ask for no less than that on both sides.
     words = text.encode("utf-8", "replace").translate(_LETTERS).split()
-    spelled = _RUN in bytes(map(_RUN_WORDS.__contains__, words))
-    signs = " @ " in text or "@" in text and "dot" in text or _SIGN_HINT.search(text) is not None
-    return glyphs, spelled, signs or b"dot" in words or b"DOT" in words
+    spelled = not _ASCII_DIGIT_WORDS.isdisjoint(words)
+    if not (plain or spelled):
+        low = text.lower()
+        spelled = any(w in low for w in _OTHER_DIGIT_WORDS)
+    return glyphs, spelled, " @ " in text or b"dot" in words or _SIGN_HINT.search(text) is not None
 
 
 class Normalised:

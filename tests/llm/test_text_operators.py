@@ -87,6 +87,35 @@ def test_long_runs_of_disguised_dots_take_linear_time():
     assert [(text[s:e], value) for s, _, e, value, _ in found] == [("ann_dot_lee_at_mail_dot_org", "ann.lee@mail.org")]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source", "value"),
+    [
+        ("host 192.168.one.one", "ip", "192.168.one.one", "192.168.1.1"),
+        ("call +1 four one five 555 0199 now", "phone", "+1 four one five 555 0199", "+1 415 555 0199"),
+        ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one", "4111 1111 1111 111 1"),
+        ("…NEUF.Fünf.0.1", "ip", "NEUF.Fünf.0.1", "9.5.0.1"),
+        ("SİX.0.0.1", "ip", "SİX.0.0.1", "6.0.0.1"),
+        ("to ⓙohn@example.com", "email", "ⓙohn@example.com", "john@example.com"),
+        ("call +४१ 555 ४५६ 7890", "phone", "+४१ 555 ४५६ 7890", "+41 555 456 7890"),
+    ],
+)
+def test_few_spelled_digits_and_any_script(text, kind, source, value):
+    found = [(pii.KINDS[k], text[s:e], v) for s, k, e, v, hidden in pii.find(text) if hidden]
+    assert (kind, source, value) in found
+
+
+MIXED = [*pii.DIGIT_WORDS, *"0123456789", *"٣४４𝟓²ⓙ\u0130ſ…é", *".-+@_ ,()", " at ", " dot ", "[dot]", "(at)", "_dot_", "com", "jane", "plus "]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(MIXED) | st.characters(exclude_categories=["Cs"]), max_size=25))
+def test_gate_is_implied_by_the_transducers(parts):
+    text = "".join(parts)
+    for given_text in (text, text.upper()):
+        out = pii.normalise(given_text)
+        assert any(pii._hints(given_text)) or out.text == given_text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="a1é.​ ", max_size=30), st.randoms())
 def test_offsets_survive_edits(text, random):
