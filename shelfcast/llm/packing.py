@@ -156,10 +156,10 @@ def pack_documents(
     counted first and dealt to the groups by the thousand, so that no group grows with the copies of one row.
 
     tokenizer: path of a ``tokenizers`` file that every executor can read. A null or empty text has the end id
-    alone. Repeated rows are packed once each, null ids like others; further columns are left out. An empty table
+    alone; an added token of the file that a text spells out has its own id. Repeated rows are packed once each, null ids like others; further columns are left out. An empty table
     gives an empty one. The same rows give the same pieces, in whatever order they come.
     """
-    encoder = Encoder(tokenizer)
+    encoder = Encoder(tokenizer, controls=True)
     check = column_udf(lambda texts: token_checks(texts, encoder, capacity, end_id), "struct<tokens:bigint,checks:array<bigint>>")
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     counted = base.select("doc_id", text_digest("text").alias("digest"), check(F.col("text")).alias("found"))

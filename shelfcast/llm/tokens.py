@@ -26,17 +26,20 @@ def _byte_of_sign() -> dict[str, int]:
 
 
 class Encoder:
-    """The ids that ``tokenizers`` gives with ``add_special_tokens=False``, control strings being ordinary text.
+    """The ids that ``tokenizers`` gives with ``add_special_tokens=False``.
 
     path: a byte-level BPE file of ``tokenizers``, at the same place on every executor. Texts of common characters
     go to ``tiktoken`` with the vocabulary of that file, about four times faster; all others to ``tokenizers``.
+    controls: whether the file's added tokens, met in a text, have their own ids, as ``tokenizers`` does unless
+    told otherwise; without it they are ordinary text.
     """
 
-    def __init__(self, path: str):
-        self.path, self.model, self.fast = path, None, None
+    def __init__(self, path: str, controls: bool = False):
+        self.path, self.controls = path, controls
+        self.model, self.fast, self.added = None, None, ()
 
     def __getstate__(self):
-        return {"path": self.path, "model": None, "fast": None}
+        return {"path": self.path, "controls": self.controls, "model": None, "fast": None, "added": ()}
 
     def _load(self) -> None:
         import json
@@ -47,18 +50,19 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(self.path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not self.controls
         with open(self.path, encoding="utf-8") as file:
             stated = json.load(file)
         special = {t["content"] for t in stated["added_tokens"]}
         signs = _byte_of_sign()
         ranks = {bytes(signs[c] for c in t): i for t, i in stated["model"]["vocab"].items() if t not in special}
+        self.added = tuple(special) if self.controls else ()
         self.fast = tiktoken.Encoding("words", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         if self.model is None:
             self._load()
-        if _COMMON.fullmatch(text):
+        if _COMMON.fullmatch(text) and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         return self.model.encode(text, add_special_tokens=False).ids
 

@@ -25,6 +25,9 @@ from shelfcast.llm.tokens import Encoder
 ENCODER = Encoder(Q.TOKENIZER)
 MODEL = Tokenizer.from_file(Q.TOKENIZER)
 MODEL.encode_special_tokens = True
+# As op2_packing is asked for: added tokens of the file keep their ids.
+CONTROL_ENCODER = Encoder(Q.TOKENIZER, controls=True)
+DEFAULT = Tokenizer.from_file(Q.TOKENIZER)
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
@@ -44,6 +47,22 @@ def test_ids_equal_the_tokenizer(text):
     assert ENCODER.ids(text) == MODEL.encode(text, add_special_tokens=False).ids
 
 
+CONTROLS = st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "a", " b", "\n", "漢", "é", "  ", "'s"]), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(CONTROLS.map("".join))
+def test_ids_of_added_tokens_equal_the_tokenizer(text):
+    assert CONTROL_ENCODER.ids(text) == DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_added_tokens(make_docs):
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "漢<|endoftext|>  x", 4: "plain"}
+    ids = {i: [*DEFAULT.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    assert ids[1] == [64, 220, 50256, 275, 1]
+    check_packing(packing.pack_documents(make_docs(texts.items()), Q.TOKENIZER).collect(), ids)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=8), st.integers(1, 60))
 def test_best_fill_is_closest(counts, room):
