@@ -185,11 +185,15 @@ def repeated_spans(
     grams = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least"))
     grams = grams.where("kinds > 1 and _least = 1").drop("_least")
     wanted = distinct.join(grams, "gram").select(
-        "place.doc_id", "place.digest", F.struct(*_STRETCH, "n", "kinds", F.col("place.at").alias("at")).alias("want")
+        F.struct("place.doc_id", "place.digest").alias("row"),
+        F.struct(*_STRETCH, "n", "kinds", F.col("place.at").alias("at")).alias("want"),
     )
-    by_document = wanted.groupBy("doc_id", "digest").agg(F.collect_list("want").alias("wants"))
+    by_row = wanted.groupBy("row").agg(F.collect_list("want").alias("wants"))
+    # copies of a row become one before they move, so that each different stretch is cut once; as a struct, null ids
+    # are equal and one exchange serves the grouping and the join
+    once = base.groupBy(F.struct("doc_id", "digest").alias("row")).agg(F.first("text").alias("text"))
     schema = "gram bigint, stretch bigint, lead int, spread int, n bigint, kinds bigint, bytes binary"
-    fetched = _same_document(base, by_document, "inner").select("text", "wants").mapInArrow(_cut(length), schema)
+    fetched = once.join(by_row.hint("merge"), "row").select("text", "wants").mapInArrow(_cut(length), schema)
     hot = grams.where(F.col("kinds") > stretches).limit(1).count() > 0
     # not written in between: within one job all uses share one shuffle of the texts
     ordered = fetched.where(F.col("kinds") <= stretches).repartition("gram").sortWithinPartitions("gram")

@@ -179,6 +179,44 @@ def test_dedup_by_sorting_and_by_counting(make_docs, stretches):
     assert dedup_rows(found) == expected
 
 
+@pytest.mark.parametrize("stretches", [1, 1024])
+def test_dedup_cuts_stretches_of_copies_once(make_docs, monkeypatch, tmp_path, stretches):
+    """However many copies a row has, with or without an id, each of its stretches is fetched once."""
+    folder, counted = str(tmp_path), "_sort_blocks" if stretches > 1 else "_single_windows"
+    real = getattr(suffix_dedup, counted)
+
+    def watched(*args):
+        run = real(*args)
+
+        def noted(batches):
+            import uuid
+
+            def seen():
+                for batch in batches:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                        for row in batch.select(["gram", "stretch", "lead", "spread"]).to_pylist():
+                            file.write(f"{tuple(row.values())}\n")
+                    yield batch
+
+            yield from run(seen())
+
+        return noted
+
+    monkeypatch.setattr(suffix_dedup, counted, watched)
+    rng = np.random.default_rng(5)
+    passage = "".join(rng.choice(list("abcdeé "), 200))
+    other = "".join(rng.choice(list("xyzwé "), 200))
+    pairs = [(1, passage)] * 20 + [(None, other)] * 20 + [(2, "1" + passage[9:] + "2"), (None, "3" + other[9:] + "4")]
+    docs = make_docs(pairs)
+    found = suffix_dedup.without_repeats(docs, length=60, gram=20, stretches=stretches).collect()
+    own = lambda rows: sorted(rows, key=str)
+    found = [(r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), r.kept_sha256) for r in found]
+    assert own(found) == own((i, *x) for (i, _), x in zip(pairs, plain_dedup([t for _, t in pairs], 60), strict=True))
+    times = Counter(line for path in tmp_path.iterdir() for line in path.read_text().splitlines())
+    uses = 1 if stretches > 1 else 2  # single windows are counted, then looked up
+    assert len(times) >= 4 and set(times.values()) == {uses}
+
+
 def test_dedup_odd_rows(odd_docs, no_docs):
     rows = suffix_dedup.without_repeats(odd_docs).collect()
     assert len(rows) == 10
