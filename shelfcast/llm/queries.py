@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import licenses
 from shelfcast.llm.chat import format_windows, read_turns, unescape
-from shelfcast.llm.common import table
+from shelfcast.llm.common import shared_folder, table
 from shelfcast.llm.decontaminate import add_benchmark_hits
+from shelfcast.llm.filter_audit import audit_orders, count_failures
 from shelfcast.llm.fixity import archive_records, audit
 from shelfcast.llm.packing import pack_documents
+from shelfcast.llm.periodic_runs import add_runs
 from shelfcast.llm.pii import KINDS, add_pii
 from shelfcast.llm.quality import add_quality
 from shelfcast.llm.secrets import add_secrets
 from shelfcast.llm.simhash import add_components
 from shelfcast.llm.suffix_dedup import without_repeats
+from shelfcast.llm.token_files import read_token_files, write_token_files
 from shelfcast.session import ship_by_value
 
 ship_by_value(sys.modules[__name__])
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Tokenizer of the binary files, its number of ids and the id put after a document.
+WORD_TOKENIZER, WORD_VOCABULARY, WORD_END = public_tokenizers.path("word_bpe_49k.json"), 49_408, 2
 #: Pages that share an archive file, by id.
 ARCHIVE_PAGES = 4096
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -166,6 +171,53 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_orders(count_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``. Where the CRC-32 h of the decimal id ends in 0 and the text has n words, all words from
+    number n' = floor(h / 10) mod n on are the first 1 + floor((n - n') / (3 + floor(h / 10) mod 8)) of them, over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, looped = F.floor(h / 10), F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.when(looped, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    rows = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    first = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    rows = rows.withColumn("a", first.cast("int"))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int")
+    rows = rows.withColumn("p", period)
+    rest = F.col("n") - F.col("a")
+    loop = F.slice("words", F.col("a") + 1, F.col("p"))
+    loops = F.slice(F.flatten(F.array_repeat(loop, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), loops), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = add_runs(looped_texts(table(spark, sf_dir, "documents")))
+    runs = F.col("periodic.runs")
+    rank = F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    listed = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select(
+        "doc_id",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        F.array_max(rank).alias("best"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
+    )
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    best = (start.alias("start"), length.alias("length"), period.alias("period"))
+    milli = F.floor(1000 * length / period).cast("bigint").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", *best, milli, "runs_sha256", "collapsed_sha256")
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents"), folder, WORD_TOKENIZER, WORD_VOCABULARY, WORD_END)
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return read_token_files(spark, folder).select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii,
     "op2_packing": packing,
@@ -177,6 +229,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": license_scan,
     "op9_secrets": secret_scan,
     "op10_simhash": simhash,
+    "op11_filter_audit": filter_interactions,
+    "op12_periodic_runs": periodic_runs,
+    "op13_token_files": token_files,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -232,6 +287,51 @@ FROM placed WHERE page_id % 97 = 5 OR page_id % 211 = 7
 """
 
 
+_FILTER_AUDIT_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+least AS (SELECT t, min(doc_id) AS first_id FROM w GROUP BY t),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN w.doc_id > first_id THEN 'E' ELSE '' END AS failed
+  FROM w JOIN least USING (t) LEFT JOIN marks ON w.doc_id = marks.doc_id
+),
+cells AS (SELECT part, failed, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (
+  SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k] AS f, substr(filter_order, 1, k - 1) AS earlier
+  FROM orders, unnest(range(1, 6)) AS u(k)
+),
+states AS (
+  SELECT part, filter_order, step, docs, good, toxic, failed = f AS only_this, contains(failed, f) AS fails,
+    len(failed) > len(translate(failed, earlier, '')) AS gone, f
+  FROM cells, steps
+),
+summed AS (
+  SELECT part, filter_order, step, any_value(f) AS f, sum(CASE WHEN NOT fails AND NOT gone THEN docs ELSE 0 END) AS kept,
+    sum(CASE WHEN fails AND NOT gone THEN docs ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN docs ELSE 0 END) AS redundant,
+    sum(CASE WHEN only_this THEN docs ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM states GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -273,4 +373,5 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": _DECONTAMINATION_SQL,
     "op6_fixity": _FIXITY_SQL,
     "op8_licenses": _license_sql(),
+    "op11_filter_audit": _FILTER_AUDIT_SQL,
 }
