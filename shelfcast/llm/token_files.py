@@ -7,12 +7,12 @@ import re
 import struct
 import sys
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -23,7 +23,6 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from shelfcast.llm.common import column_udf, text_digest, written
 from shelfcast.session import ship_by_value
 
 ship_by_value(sys.modules[__name__])
@@ -35,6 +34,10 @@ BLOCK_IDS = 1 << 16
 FOOTER = "<8sIIQQQQQ"
 MANIFEST = "manifest.json"
 ROW = "doc_id bigint, start bigint, ids binary"
+#: Bytes of text that are taken for one id when the number of files is chosen.
+BYTES_PER_ID = 3
+# Rows without an id are placed as if they had the least one.
+LEAST_ID = -(1 << 63)
 
 
 # ------------------------------------------------------------------ bits
@@ -52,6 +55,8 @@ def pack_ids(ids: np.ndarray, bits: int) -> np.ndarray:
     padded with zeros."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"id {int(ids.max())} does not fit into {bits} bits")
+    if bits in (8, 16, 32):  # whole numbers of bytes need no shifts
+        return ids.astype(f"<u{bits // 8}").view(np.uint8)
     octets = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     octets.ravel()[: len(ids)] = ids
     out = np.zeros((len(octets), bits), np.uint8)
@@ -65,6 +70,8 @@ def pack_ids(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def unpack_ids(data: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     """The ids number ``at`` (any, in any order) of packed bytes."""
+    if bits in (8, 16, 32):
+        return data.view(f"<u{bits // 8}")[at].astype(np.uint32)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
     bit = at.astype(np.int64) * bits
@@ -176,12 +183,9 @@ def _located(path: str):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A file that a task has finished."""
+    """The files that a task has finished: (part, name, documents, ids) of each."""
 
-    task: int
-    file: str
-    n_docs: int
-    n_ids: int
+    files: list[tuple[int, str, int, int]]
 
 
 @dataclass
@@ -193,9 +197,10 @@ class FilePart(InputPartition):
 class TokenFolder(DataSource):
     """``token_bits``: a folder of token files and a manifest.
 
-    Write rows ``doc_id``, ``ids`` (little-endian unsigned 32-bit), placed and sorted by the caller: the tasks' files
-    follow one another in the order of the partitions. Option ``vocabulary``: number of ids. Read gives ``doc_id``,
-    ``start`` (ids of all documents before it in the folder) and ``ids``, one task per file.
+    Write rows ``part``, ``doc_id``, ``n_ids``, ``ids`` (packed in the vocabulary's bits): each part becomes a file,
+    with its rows in the order in which they come, and must lie in one task in one piece; files follow one another by
+    part. Option ``vocabulary``: number of ids. Read gives ``doc_id``, ``start`` (ids of all documents before it in the
+    folder) and ``ids`` (little-endian unsigned 32-bit), one task per file.
     """
 
     @classmethod
@@ -215,7 +220,7 @@ class TokenFolder(DataSource):
 
 
 class TokenFolderWriter(DataSourceArrowWriter):
-    """Every attempt of a task writes a file of its own; only those that Spark commits get into the manifest."""
+    """Every attempt of a task writes files of its own; only those that Spark commits get into the manifest."""
 
     def __init__(self, path: str, bits: int, block_ids: int):
         if block_ids <= 0 or block_ids % 8:
@@ -224,21 +229,33 @@ class TokenFolderWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = _located(self.path)
-        task = TaskContext.get().partitionId()
-        name = f"part-{task:06d}-{uuid.uuid4().hex}.tok"
         files.create_dir(folder, recursive=True)
-        with files.open_output_stream(f"{folder}/{name}") as out:
-            target = TokenFileWriter(out, self.bits, self.block_ids)
-            for batch in iterator:
-                for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    target.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"))
-            target.close()
-        return Written(task, name, len(target.docs), target.n_ids)
+        done: list[tuple[int, str, int, int]] = []
+        part, name, out, target = None, "", None, None
+
+        def finish():
+            if target is not None:
+                target.close()
+                out.close()
+                done.append((part, name, len(target.docs), target.n_ids))
+
+        for batch in iterator:
+            numbers, doc_ids, sizes = (batch.column(k).to_pylist() for k in range(3))
+            for number, doc_id, size, ids in zip(numbers, doc_ids, sizes, batch.column(3), strict=True):
+                if number != part:
+                    finish()
+                    part, name = number, f"part-{number:06d}-{uuid.uuid4().hex}.tok"
+                    out = files.open_output_stream(f"{folder}/{name}")
+                    target = TokenFileWriter(out, self.bits, self.block_ids)
+                packed = np.frombuffer(ids.as_buffer(), np.uint8)
+                target.add(doc_id, unpack_ids(packed, self.bits, np.arange(size)))
+        finish()
+        return Written(done)
 
     def commit(self, messages: list[Written]) -> None:
         files, folder = _located(self.path)
-        done = sorted((m for m in messages if m is not None), key=lambda m: m.task)
-        listed = [{"file": m.file, "n_docs": m.n_docs, "n_ids": m.n_ids} for m in done]
+        done = sorted(f for m in messages if m is not None for f in m.files)
+        listed = [{"file": name, "n_docs": n_docs, "n_ids": n_ids} for _, name, n_docs, n_ids in done]
         files.create_dir(folder, recursive=True)
         with files.open_output_stream(f"{folder}/{MANIFEST}") as out:
             out.write(json.dumps({"bits": self.bits, "files": listed}).encode())
@@ -246,8 +263,8 @@ class TokenFolderWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written]) -> None:
         files, folder = _located(self.path)
         for m in messages:
-            if m is not None:
-                files.delete_file(f"{folder}/{m.file}")
+            for _, name, _, _ in m.files if m is not None else ():
+                files.delete_file(f"{folder}/{name}")
 
 
 class TokenFolderReader(DataSourceReader):
@@ -261,7 +278,9 @@ class TokenFolderReader(DataSourceReader):
             start += listed["n_ids"]
         return parts
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without documents
+            return
         files, folder = _located(self.path)
         kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())]
         with files.open_input_file(f"{folder}/{partition.file}") as file:
@@ -372,10 +391,9 @@ class WordEncoder:
         words = text.encode().split()  # of bytes: at ASCII white space only
         return b"".join([self.words[w.decode()] for w in words])
 
-    def encode(self, texts: pa.Array) -> pa.Array:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers; null is the empty text."""
-        end = np.uint32(self.end_id).astype("<u4").tobytes()
-        return pa.array([self.ids(text or "") + end for text in texts.to_pylist()], pa.binary())
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text and the end id; null is the empty text."""
+        return np.append(np.frombuffer(self.ids(text or ""), "<u4"), np.uint32(self.end_id))
 
 
 def byte_signs() -> list[str]:
@@ -403,6 +421,32 @@ def _plain_split(stated: dict) -> str | None:
     return None
 
 
+def _bounds(keys: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """The first keys (``doc_id``, ``tie``) of all ranges but the first, of about equally many rows each. Only keys are
+    shuffled; one row per range comes to the driver."""
+    ranged = keys.repartitionByRange(parts, "doc_id", "tie")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "tie")).alias("key"))
+    rows = sorted((r.key.doc_id, r.key.tie) for r in firsts.collect())
+    return rows[1:]
+
+
+def _placed_ids(encoder: WordEncoder, bits: int, bounds: list[tuple[int, int]]):
+    """UDF of document id, tie and text: the range of the first two, the number of ids and the packed ids."""
+    kind = "struct<part:int,n_ids:bigint,ids:binary>"
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for doc_ids, ties, texts in batches:
+            keys = zip(doc_ids.to_pylist(), ties.to_pylist(), strict=True)
+            parts = [bisect_right(bounds, key) for key in keys]
+            ids = [encoder.encode(text) for text in texts.to_pylist()]
+            packed = [pack_ids(i, bits).tobytes() for i in ids]
+            columns = [pa.array(parts, pa.int32()), pa.array([len(i) for i in ids], pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.StructArray.from_arrays(columns, ["part", "n_ids", "ids"])
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, doc_id: str = "doc_id", text: str = "text",
     file_bytes: int = 64 << 20,
@@ -410,29 +454,31 @@ def write_token_files(
     """Encodes every text, puts ``end_id`` after it, and writes the ids to the new folder ``path`` in ascending order of
     ``doc_id``, as files of about ``file_bytes``.
 
-    Null ids come first; rows of one id are ordered by their text, repeated ones all written. A null or empty text
-    is the end id alone. Further columns are left out. An empty table gives a folder without documents. Texts are
-    encoded where they lie and only ids are shuffled, by ranges of (id, digest of the text, number of the row), so that
-    rows of one id can lie in several files. A task holds a block of ids and one document.
+    Null ids come first; rows of one id, repeated ones too, are all written, next to each other. A null or empty text
+    is the end id alone. Further columns are left out. An empty table gives a folder without documents.
+
+    A first pass over ids and lengths finds ranges of (id, tie) with about equally many rows; ties number the rows of the
+    table, so that rows of one id can lie in several files. Texts are then encoded where they lie, and their packed ids
+    are shuffled once, by range, and written. A task holds a block of ids and one document. The rows have to come the
+    same way when a lost task is run again, as they do from files.
 
     path: in a folder that driver and executors share. tokenizer: a file that every executor can read, of a kind
     that drops white space (see :class:`WordEncoder`).
     """
-    spark = docs.sparkSession
-    encoder = WordEncoder(tokenizer, end_id)
-    ids = column_udf(encoder.encode, "binary")(F.col(text))
-    encoded = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), text_digest(F.col(text)).alias("digest"),
-        F.monotonically_increasing_id().alias("row"), ids.alias("ids"),
-    )
-    encoded = written(encoded)
-    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = 1 + int(size // 4 * id_bits(vocabulary) // 8 // file_bytes)
-    parts = max(parts, min(spark.sparkContext.defaultParallelism, 1 + int(size >> 20)))
-    order = ["doc_id", "digest", "row"]
-    placed = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    spark, bits = docs.sparkSession, id_bits(vocabulary)
+    tie = F.xxhash64(F.monotonically_increasing_id()).alias("tie")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), tie)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + int(total) // BYTES_PER_ID * bits // 8 // file_bytes
+    parts = max(parts, min(spark.sparkContext.defaultParallelism, 1 + (int(total) >> 20)))
+    keys = rows.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), "tie")
+    place = _placed_ids(WordEncoder(tokenizer, end_id), bits, _bounds(keys, parts))
+    known = F.coalesce("doc_id", F.lit(LEAST_ID))
+    placed = rows.select("doc_id", "tie", place(known, F.col("tie"), F.col("text")).alias("p")).select("p.part", "doc_id", "tie", "p.n_ids", "p.ids")
+    ordered = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
     spark.dataSource.register(TokenFolder)
-    placed.write.format("token_bits").option("vocabulary", vocabulary).mode("append").save(path)
+    written = ordered.select("part", "doc_id", "n_ids", "ids").write.format("token_bits")
+    written.option("vocabulary", vocabulary).mode("append").save(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
