@@ -41,7 +41,7 @@ def normal_quantile(level) -> Column:
     """Inverse normal CDF of a service level given as a number or as a column."""
     if isinstance(level, (int, float)):
         if not 0.0 < level < 1.0:
-            raise ValueError("Service level must be between 0.0 and 1.0")
+            raise ValueError(f"a service level lies between 0 and 1, both excluded; got {level}")
         return F.lit(NormalDist().inv_cdf(level))
     return _normal_quantile_column(as_column(level))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfcast.schema import KEYS, require_columns
@@ -20,6 +20,7 @@ def clean_sales(
     approx_quantiles: bool = False,
     with_fence: bool = False,
     placed: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """One row per series and day from its first to its last date, all series in one job.
 
@@ -30,7 +31,10 @@ def clean_sales(
     ``on_duplicate`` says what to do with several rows for one series and day: fail, add them up,
     or keep one of identical rows (different ones still fail). ``on_leading_null`` says whether a
     series that starts without a value fails or loses those days. ``placed`` says that the input is
-    already partitioned by the keys, as a table bucketed by them is, and saves the shuffle.
+    already partitioned by the keys, as a table bucketed by them is (``sinks.write_series_table``), and saves the
+    shuffle. ``observation`` receives ``n_rows``, ``n_without_date`` (left out), ``n_without_sales`` (interpolated)
+    and ``n_negative`` (set to 0) of the input when the result is computed, without a second scan; see
+    ``coerce_sales`` for when they are exact.
 
     Plan: one shuffle by series key (plus a pre-aggregation by day for "sum" and "distinct", which
     also takes the weight out of hot series). A series has one row per calendar day at most, which
@@ -44,7 +48,7 @@ def clean_sales(
     keys = list(keys)
     require_columns(df, ["date", *keys, "sales"])
 
-    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate, placed), keys, on_leading_null)
+    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate, placed, observation), keys, on_leading_null)
 
     quartile = F.percentile_approx if approx_quantiles else F.percentile
     q = quartile("sales", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*keys))
@@ -67,8 +71,16 @@ def outlier_fence(
     )
 
 
-def _one_row_per_day(df, keys, on_duplicate, placed):
+def _one_row_per_day(df, keys, on_duplicate, placed, observation=None):
     rows = df.select(*keys, F.col("date").cast("date").alias("date"), F.col("sales").cast("double").alias("sales"))
+    if observation is not None:
+        rows = rows.observe(
+            observation,
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col("date").isNull()).alias("n_without_date"),
+            F.count_if(F.col("sales").isNull() | F.isnan("sales")).alias("n_without_sales"),
+            F.count_if(F.col("sales") < 0).alias("n_negative"),
+        )
     rows = rows.where(F.col("date").isNotNull())
     if on_duplicate == "sum":
         rows = rows.groupBy(*keys, "date").agg(F.sum("sales").alias("sales"))

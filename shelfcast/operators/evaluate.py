@@ -20,7 +20,7 @@ def pair_by_step(actual: DataFrame, predicted: DataFrame, keys=KEYS, horizon: in
     """
     if horizon is not None:
         if horizon <= 0:
-            raise ValueError("Forecast horizon must be positive")
+            raise ValueError(f"a horizon is a day or more, got {horizon}")
         actual = actual.where(F.col("step") <= horizon)
         predicted = predicted.where(F.col("step") <= horizon)
     model = ["model"] if "model" in predicted.columns else []
@@ -32,7 +32,7 @@ def pair_by_step(actual: DataFrame, predicted: DataFrame, keys=KEYS, horizon: in
 
 def held_out_rows(test: DataFrame, keys=KEYS) -> DataFrame:
     """``step`` and ``actual`` of test rows with ``date`` and ``sales``."""
-    require_columns(test, ["sales"], "Test data must contain 'sales' column")
+    require_columns(test, ["sales"], "a test table needs columns")
     return number_steps(test, keys).withColumnRenamed("sales", "actual").select(*keys, "step", "actual")
 
 
@@ -54,7 +54,7 @@ def best_model(metrics: DataFrame, metric: str = "rmse", keys=KEYS) -> DataFrame
     """The model with the best ``metric`` per series (or overall, with empty ``keys``) and all its
     metrics. R² is best when highest, the others when lowest; ties go to the first name."""
     if metric not in METRICS:
-        raise ValueError(f"Metric must be one of {set(METRICS)}, got '{metric}'")
+        raise ValueError(f"{metric!r} is none of the metrics {METRICS}")
     score = -_finite(metric) if metric == "r2" else _finite(metric)
     row = F.struct(*[c for c in metrics.columns if c not in keys])
     best = (

@@ -5,6 +5,7 @@ from shelfcast.operators.forecasters.decomposable import DecomposableForecaster
 from shelfcast.operators.forecasters.function import FunctionForecaster
 from shelfcast.operators.forecasters.naive import NaiveForecaster
 from shelfcast.operators.forecasters.seasonal_arima import SeasonalArimaForecaster
+from shelfcast.operators.forecasters.stateful import StatefulForecaster
 
 # The names models are chosen by.
 MODELS = {
@@ -18,7 +19,7 @@ def build_model(name: str) -> Forecaster:
     """A fresh model by name, in any case."""
     model = MODELS.get(name.lower())
     if model is None:
-        raise ValueError(f"Unknown model: '{name}'. Choose one of {', '.join(MODELS)}.")
+        raise ValueError(f"{name!r} is no model; there are {', '.join(MODELS)}")
     return model()
 
 
@@ -29,5 +30,6 @@ __all__ = [
     "FunctionForecaster",
     "NaiveForecaster",
     "SeasonalArimaForecaster",
+    "StatefulForecaster",
     "build_model",
 ]

@@ -101,13 +101,12 @@ class DecomposableForecaster(Forecaster):
         ]
         self.regressors: list[Regressor] = []
         self._holiday_days: dict[str, list[int]] = {}
-        self._series: DataFrame | None = None
 
     # -- model terms ------------------------------------------------------------------------
 
     def add_seasonality(self, name, period, fourier_order, prior_scale=10.0, mode="additive"):
         if self.fitted is not None:
-            raise RuntimeError("Seasonalities must be added before fitting")
+            raise RuntimeError("the model is fitted already: add seasonalities to a new one")
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
         if period <= 0 or fourier_order < 1 or prior_scale <= 0:
@@ -119,7 +118,7 @@ class DecomposableForecaster(Forecaster):
     def add_regressor(self, name, prior_scale=10.0, standardize=True):
         """``name`` is a column of the training table; future values are passed to ``predict``."""
         if self.fitted is not None:
-            raise RuntimeError("Regressors must be added before fitting")
+            raise RuntimeError("the model is fitted already: add regressors to a new one")
         if prior_scale <= 0:
             raise ValueError("prior_scale must be positive")
         self.regressors.append(Regressor(name, float(prior_scale), standardize))
@@ -130,7 +129,6 @@ class DecomposableForecaster(Forecaster):
 
     def _fit(self, series):
         self._holiday_days = self._read_holidays()
-        self._series = series
         return self._with_fit(series).drop("values")
 
     def _with_fit(self, series):
@@ -336,55 +334,13 @@ class DecomposableForecaster(Forecaster):
 
     # -- cross-validation -------------------------------------------------------------------
 
-    def cross_validate(self, horizon: int = 30, period: int = 15, initial: int = 365) -> DataFrame:
-        """Rolling-origin forecasts: keys, ``cutoff``, ``date``, ``horizon_days``, ``actual``,
-        ``predicted``, ``ci_lower``, ``ci_upper``.
-
-        Cutoffs step back by ``period`` days from ``horizon`` days before the end while ``initial``
-        days of history remain. Each cutoff is a row of its own and fitted independently; the rows
-        are made next to the series they come from, so nothing is shuffled.
-        """
-        self.require_fitted("cross-validation")
-        if min(horizon, period) < 1 or initial < 0:
-            raise ValueError("horizon and period must be positive, initial non-negative")
-        last = F.element_at("steps", -1)
-        newest = last - F.lit(horizon)
-        cutoffs = F.when(newest >= initial, F.sequence(newest, F.lit(initial), F.lit(-period)))
-        arrays = ("steps", "values", *self.extras)
-        origins = self._series.withColumn("cutoff_step", F.explode(cutoffs))
-        gap_free = last + 1 == F.size("steps")
-
-        def observations_until(step):
-            counted = F.size(F.filter("steps", lambda s: s <= step))
-            return F.when(gap_free, step + 1).otherwise(counted)
-
-        n_train = observations_until(F.col("cutoff_step"))
-        n_test = observations_until(F.col("cutoff_step") + horizon) - n_train
-        origins = origins.withColumns({"_n_train": n_train, "_n_test": n_test})
-        held_out = F.arrays_zip(*[F.slice(a, F.col("_n_train") + 1, F.col("_n_test")).alias(a) for a in arrays])
-        train = origins.withColumn("_held_out", held_out).withColumns(
-            {a: F.slice(a, F.lit(1), F.col("_n_train")) for a in arrays}
-        )
-        fitted = self._with_fit(train).where(F.col("error").isNull())
+    def _forecast_held_out(self, origins, horizon, max_gap):
+        fitted = self._with_fit(origins).where(F.col("error").isNull())
         rows = fitted.select(
-            *self.keys,
-            "start",
-            "fit",
-            "cutoff_step",
-            F.element_at("steps", -1).alias("last_step"),
-            F.inline("_held_out"),
-        ).withColumnsRenamed({"steps": "step", "values": "actual"})
-        rows = rows.withColumn("date", F.date_add("start", F.col("step")))
-        return self._evaluate(rows).select(
-            *self.keys,
-            F.date_add("start", F.col("cutoff_step")).alias("cutoff"),
-            "date",
-            (F.col("step") - F.col("cutoff_step")).alias("horizon_days"),
-            "actual",
-            F.col("forecast").alias("predicted"),
-            "ci_lower",
-            "ci_upper",
+            *self.keys, "start", "fit", "cutoff", F.element_at("steps", -1).alias("last_step"), F.inline("held_out")
         )
+        rows = rows.withColumn("date", F.date_add("cutoff", F.col("ahead")))
+        return self._evaluate(rows.withColumn("step", F.datediff("date", "start")))
 
 
 def _total(columns):

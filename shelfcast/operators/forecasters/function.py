@@ -35,6 +35,12 @@ class FunctionForecaster(Forecaster):
     def _fit(self, series):
         return series.withColumn("error", F.lit(None).cast("string"))
 
+    def fit_status(self):
+        """The function runs only to predict, so its first day ahead tells whether it works on a series."""
+        self.require_fitted("the status of a fit")
+        rows = self._predict(1, include_history=False)
+        return rows.groupBy(*self.keys).agg(F.max("error").alias("error"))
+
     def _predict(self, periods, include_history):
         function = self.function
 

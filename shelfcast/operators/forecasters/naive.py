@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.dates import following_days
 from shelfcast.operators.forecasters.base import Forecaster
+from shelfcast.operators.series import series_table
 from shelfcast.operators.split import last_observation
 from shelfcast.schema import KEYS, require_columns, require_rows
 
@@ -16,17 +17,18 @@ class NaiveForecaster(Forecaster):
 
     def fit(self, df: DataFrame, keys=KEYS, check_empty: bool = False, unique: bool = False) -> NaiveForecaster:
         # Only the last row counts, so partial aggregation replaces the series table.
-        require_columns(df, ["sales"], "DataFrame must contain 'sales' column")
+        require_columns(df, ["sales"], "a training table needs columns")
         if check_empty:
-            require_rows(df, "Training data is empty.")
+            require_rows(df, "there is nothing to train on: the table has no rows")
         self.keys = list(keys)
+        self.series = series_table(df, keys, unique=unique)  # for cross-validation only
         self.fitted = last_observation(df, keys).withColumn("error", F.lit(None).cast("string"))
         return self
 
     def _fit(self, series):
         last = F.date_add("start", F.element_at("steps", -1)).alias("last_date")
         value = F.try_element_at("values", F.lit(-1))
-        too_short = F.when(F.size("values") == 0, F.lit("Training data is empty."))
+        too_short = F.when(F.size("values") == 0, F.lit("the series has no observation"))
         return series.select(
             *self.keys,
             F.when(F.size("values") > 0, last).alias("last_date"),

@@ -46,28 +46,28 @@ def order_policy(
     checked at once, columns row by row when the query runs. ``uncertainty`` is the upper error of
     the forecast; without it there is no safety stock. A missing demand gives null results.
     """
-    _check(ordering_cost, lambda x: x >= 0, "Ordering cost must be non-negative")
-    _check(holding_cost, lambda x: x > 0, "Holding cost per period must be positive")
-    _check(lead_time, lambda x: x >= 0, "Lead time must be non-negative")
-    _check(batch_size, lambda x: x >= 1, "Batch size must be at least 1")
-    _check(service_level, lambda x: 0.0 < x < 1.0, "Service level must be between 0.0 and 1.0")
+    _check(ordering_cost, lambda x: x >= 0, "an order cannot cost less than nothing")
+    _check(holding_cost, lambda x: x > 0, "holding a unit for a period has to cost something")
+    _check(lead_time, lambda x: x >= 0, "a lead time cannot be negative")
+    _check(batch_size, lambda x: x >= 1, "a batch holds one unit or more")
+    _check(service_level, lambda x: 0.0 < x < 1.0, "a service level lies between 0 and 1, both excluded")
     for name in (demand, uncertainty):
         if isinstance(name, str):
             require_columns(df, [name])
     if check_empty:
-        require_rows(df, "Forecast series cannot be empty")
+        require_rows(df, "there is nothing to plan: the forecast has no rows")
 
-    s = _checked(ordering_cost, lambda c: c >= 0, "Ordering cost must be non-negative")
-    h = _checked(holding_cost, lambda c: c > 0, "Holding cost per period must be positive")
-    lead = _checked(lead_time, lambda c: c >= 0, "Lead time must be non-negative")
-    batch = _checked(batch_size, lambda c: c >= 1, "Batch size must be at least 1")
+    s = _checked(ordering_cost, lambda c: c >= 0, "an order cannot cost less than nothing")
+    h = _checked(holding_cost, lambda c: c > 0, "holding a unit for a period has to cost something")
+    lead = _checked(lead_time, lambda c: c >= 0, "a lead time cannot be negative")
+    batch = _checked(batch_size, lambda c: c >= 1, "a batch holds one unit or more")
 
     units = floor_at_zero(as_column(demand).cast("double"))
     if uncertainty is None:
         buffer = F.lit(0).cast("bigint")
     else:
         if isinstance(service_level, (Column, str)):
-            level = _checked(service_level, lambda c: (c > 0) & (c < 1), "Service level must be between 0.0 and 1.0")
+            level = _checked(service_level, lambda c: (c > 0) & (c < 1), "a service level lies between 0 and 1, both excluded")
         else:
             level = service_level
         error = floor_at_zero(as_column(uncertainty).cast("double"))
@@ -92,7 +92,7 @@ def join_uncertainty(forecast: DataFrame, uncertainty: DataFrame, on) -> DataFra
     """
     on = list(on)
     partner = uncertainty.select(*on, F.struct("uncertainty").alias("_found"))
-    message = F.lit("Uncertainty series must match forecast series length")
+    message = F.lit("a forecast row has no uncertainty of its own")
     return (
         forecast.join(partner, on, "left")
         .withColumn(
@@ -127,12 +127,12 @@ def annual_policy(
 
     Without an order (demand 0) the ordering cost is null.
     """
-    _check(ordering_cost, lambda x: x >= 0, "Ordering cost must be non-negative")
-    _check(holding_cost, lambda x: x > 0, "Holding cost must be positive")
-    _check(lead_time_days, lambda x: x >= 0, "Lead time must be non-negative")
-    s = _checked(ordering_cost, lambda c: c >= 0, "Ordering cost must be non-negative")
-    h = _checked(holding_cost, lambda c: c > 0, "Holding cost must be positive")
-    lead = _checked(lead_time_days, lambda c: c >= 0, "Lead time must be non-negative")
+    _check(ordering_cost, lambda x: x >= 0, "an order cannot cost less than nothing")
+    _check(holding_cost, lambda x: x > 0, "holding a unit has to cost something")
+    _check(lead_time_days, lambda x: x >= 0, "a lead time cannot be negative")
+    s = _checked(ordering_cost, lambda c: c >= 0, "an order cannot cost less than nothing")
+    h = _checked(holding_cost, lambda c: c > 0, "holding a unit has to cost something")
+    lead = _checked(lead_time_days, lambda c: c >= 0, "a lead time cannot be negative")
     demand = floor_at_zero(as_column(annual_demand).cast("double"))
     deviation = floor_at_zero(as_column(daily_std).cast("double"))
     planned = items.withColumns(

@@ -59,3 +59,39 @@ def hold_out(series: DataFrame, periods: int, extras=()) -> DataFrame:
     test_length = holdout_length(n, periods)
     test = F.slice("values", n - test_length + 1, test_length)
     return shorten(series.withColumn("held_out", test), n - test_length, extras)
+
+
+def rolling_origins(series: DataFrame, horizon: int, period: int, initial: int, extras=()) -> DataFrame:
+    """Cuts each series at several dates: one row per cutoff, next to the row it comes from, without a shuffle.
+
+    Cutoffs step back by ``period`` days from ``horizon`` days before the last one, while at least ``initial`` days of
+    history remain. Adds ``cutoff`` and ``held_out``: the observations of the ``horizon`` days after it as structs of
+    ``ahead`` (days after the cutoff), ``actual`` and the extra columns. The arrays keep what is up to the cutoff. A
+    series that is too short for one cutoff has no row.
+    """
+    if min(horizon, period) < 1 or initial < 0:
+        raise ValueError("horizon and period must be positive, initial non-negative")
+    arrays = ("steps", "values", *extras)
+    last = F.element_at("steps", -1)
+    newest = last - F.lit(horizon)
+    cutoffs = F.when(newest >= initial, F.sequence(newest, F.lit(initial), F.lit(-period)))
+    origins = series.withColumn("_cutoff", F.explode(cutoffs))
+    gap_free = last + 1 == F.size("steps")
+
+    def observations_until(step):
+        counted = F.size(F.filter("steps", lambda s: s <= step))
+        return F.when(gap_free, step + 1).otherwise(counted)
+
+    n_train = observations_until(F.col("_cutoff"))
+    n_test = observations_until(F.col("_cutoff") + horizon) - n_train
+    origins = origins.withColumns({"_n_train": n_train, "_n_test": n_test})
+    tail = F.arrays_zip(*[F.slice(a, F.col("_n_train") + 1, F.col("_n_test")).alias(a) for a in arrays])
+    held_out = F.transform(
+        tail,
+        lambda d: F.struct(
+            (d["steps"] - F.col("_cutoff")).alias("ahead"), d["values"].alias("actual"), *[d[c].alias(c) for c in extras]
+        ),
+    )
+    cut = origins.withColumns({"cutoff": F.date_add("start", F.col("_cutoff")), "held_out": held_out})
+    cut = cut.withColumns({a: F.slice(a, F.lit(1), F.col("_n_train")) for a in arrays})
+    return cut.drop("_cutoff", "_n_train", "_n_test")

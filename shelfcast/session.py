@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +47,32 @@ def series_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the cluster's shared folder.
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process: masters ``local`` and ``local[...]``, not ``local-cluster``."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors share one machine, falls back to a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local master falls back to a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="shelfcast-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder name that driver and executors share, under the checkpoint folder; its files stay until the
+    owner of that folder removes them."""
+    return f"{checkpoint_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the cluster's shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="shelfcast-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

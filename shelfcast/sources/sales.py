@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,17 +37,20 @@ def read_and_validate_sales(
         raw = reader.csv(path)
         empty = not raw.columns or raw.isEmpty()
     except Exception as error:
-        raise ValueError(f"Could not parse file as CSV: {error}") from error
+        raise ValueError(f"{path} cannot be read as CSV: {error}") from error
     if empty:
-        raise ValueError("The file is empty: it needs a header and at least one row of data.")
+        raise ValueError(f"{path} is empty: a sales file has a header and at least one row")
     return validate_sales(raw, date_formats)
 
 
-def validate_sales(raw: DataFrame, date_formats=DATE_FORMATS) -> tuple[DataFrame, list[str]]:
-    """Canonical names and types for any table with accepted headers; works on the schema alone."""
+def validate_sales(
+    raw: DataFrame, date_formats=DATE_FORMATS, observation: Observation | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Canonical names and types for any table with accepted headers; works on the schema alone. ``observation``
+    as in ``coerce_sales``."""
     renames = resolve_columns(raw.columns)
     warnings = [f"Mapped `{found}` → `{wanted}`" for found, wanted in renames.items()]
-    return coerce_sales(raw.withColumnsRenamed(renames), date_formats), warnings
+    return coerce_sales(raw.withColumnsRenamed(renames), date_formats, observation), warnings
 
 
 def resolve_columns(columns: list[str]) -> dict[str, str]:
@@ -71,34 +74,48 @@ def resolve_columns(columns: list[str]) -> dict[str, str]:
             renames[found] = wanted
     if unmapped:
         raise ValueError(
-            "Could not detect required columns. "
-            f"Required: {list(REQUIRED_COLUMNS)}. Found: {list(columns)}. Could not map: {unmapped}."
+            f"no column stands for {unmapped}: the table has {list(columns)}, needed are {list(REQUIRED_COLUMNS)}"
         )
     return renames
 
 
-def coerce_sales(df: DataFrame, date_formats=DATE_FORMATS) -> DataFrame:
-    """Types of the four required columns; values that do not convert become null, extras pass."""
-    return df.withColumns(
-        {
-            "date": _to_date(df, "date", date_formats),
-            "store": _to_whole_number(df, "store"),
-            "item": _to_whole_number(df, "item"),
-            "sales": _to_number(df, "sales"),
-        }
-    )
+def coerce_sales(df: DataFrame, date_formats=DATE_FORMATS, observation: Observation | None = None) -> DataFrame:
+    """Types of the four required columns; values that do not convert become null, extras pass.
+
+    ``observation`` receives the counts of ``coercion_report`` when the result is first computed as a whole, in the
+    same pass over the data. They are exact for a job that reads all rows and loses no stage; a stage that is
+    run again counts twice, and a limit or a skipped partition is not counted.
+    """
+    coerced = {
+        "date": _to_date(df, "date", date_formats),
+        "store": _to_whole_number(df, "store"),
+        "item": _to_whole_number(df, "item"),
+        "sales": _to_number(df, "sales"),
+    }
+    if observation is None:
+        return df.withColumns(coerced)
+    return _beside_raw(df, coerced).observe(observation, *_coercion_counts()).drop(*_RAW.values())
+
+
+# The values before the coercion, while they are counted.
+_RAW = {c: f"_raw_{c}" for c in REQUIRED_COLUMNS}
+
+
+def _beside_raw(df, coerced):
+    return df.withColumns({_RAW[c]: F.col(c) for c in REQUIRED_COLUMNS}).withColumns(coerced)
+
+
+def _coercion_counts():
+    rejected = [
+        F.count_if(F.col(raw).isNotNull() & F.col(c).isNull()).alias(f"{c}_rejected") for c, raw in _RAW.items()
+    ]
+    return [F.count(F.lit(1)).alias("n_rows"), *rejected]
 
 
 def coercion_report(raw: DataFrame, date_formats=DATE_FORMATS) -> DataFrame:
     """One row: per required column, how many non-null values become null in the coercion."""
-    coerced = coerce_sales(raw.withColumns({f"_raw_{c}": F.col(c) for c in REQUIRED_COLUMNS}), date_formats)
-    return coerced.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[
-            F.count_if(F.col(f"_raw_{c}").isNotNull() & F.col(c).isNull()).alias(f"{c}_rejected")
-            for c in REQUIRED_COLUMNS
-        ],
-    )
+    beside = raw.withColumns({name: F.col(c) for c, name in _RAW.items()})
+    return coerce_sales(beside, date_formats).agg(*_coercion_counts())
 
 
 def extra_columns(df: DataFrame) -> list[str]:

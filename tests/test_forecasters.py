@@ -53,15 +53,15 @@ def test_naive_from_rows_and_from_a_series_table_agree(make_series):
 @pytest.mark.parametrize("name", ["naive", "sarima", "prophet"])
 def test_contract(name, make_series):
     model = build_model(name.upper())
-    with pytest.raises(RuntimeError, match="must be fitted before prediction"):
+    with pytest.raises(RuntimeError, match="prediction needs a fitted model"):
         model.predict(10)
     df = make_series({1: WEEKLY[:30]})
-    with pytest.raises(ValueError, match="must contain 'sales' column"):
+    with pytest.raises(ValueError, match="needs columns"):
         model.fit(df.withColumnRenamed("sales", "other"))
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         model.fit(df.limit(0), check_empty=True)
     model.fit(df)
-    with pytest.raises(ValueError, match="non-negative"):
+    with pytest.raises(ValueError, match="days ahead"):
         model.predict(-1)
     assert "ci_lower" not in model.predict(3, include_confidence=False).columns
     assert model.predict(3).columns == NaiveForecaster().fit(df).predict(3).columns
@@ -69,7 +69,7 @@ def test_contract(name, make_series):
 
 
 def test_unknown_model():
-    with pytest.raises(ValueError, match="Unknown model"):
+    with pytest.raises(ValueError, match="no model"):
         build_model("oracle")
 
 
@@ -204,7 +204,7 @@ def test_regressor_needs_future_values(spark, make_series):
         "promo", (F.datediff("date", F.lit("2026-01-01").cast("date")) % 5 == 0).cast("double")
     )
     model = DecomposableForecaster().add_regressor("promo").fit(df)
-    with pytest.raises(RuntimeError, match="before fitting"):
+    with pytest.raises(RuntimeError, match="fitted already"):
         model.add_regressor("price")
     with pytest.raises(ValueError, match="future values"):
         model.predict(5)
@@ -226,7 +226,7 @@ def test_custom_seasonality_and_multiplicative_mode(make_series):
     parts = model.fit(make_series({1: truth})).components().toPandas().sort_values("date")
     np.testing.assert_allclose(parts["monthly"], 0.2 * np.sin(2 * np.pi * (days + epoch) / 30.5), atol=0.05)
     np.testing.assert_allclose(parts["forecast"], truth, rtol=0.02)
-    with pytest.raises(RuntimeError, match="before fitting"):
+    with pytest.raises(RuntimeError, match="fitted already"):
         model.add_seasonality("other", 10, 2)
 
 
@@ -242,7 +242,7 @@ def test_logistic_growth_needs_a_cap_and_respects_it(make_series):
 
 def test_cross_validation(make_series):
     model = DecomposableForecaster()
-    with pytest.raises(RuntimeError, match="before cross-validation"):
+    with pytest.raises(RuntimeError, match="cross-validation needs a fitted"):
         model.cross_validate()
     cv = model.fit(make_series({1: range(500), 2: range(100)})).cross_validate(30, 15, 365)
     cutoffs = sorted({r.cutoff for r in cv.select("cutoff").collect()})

@@ -51,7 +51,8 @@ from shelfcast.plans.workflows import (
 )
 from shelfcast.session import ship_by_value
 from shelfcast.sources.sales import coercion_report, validate_sales
-from workloads.views import daily_sales, item_demand, part_demand, sale_lines, supplier_lines, table
+from workloads import model_queries, table_queries
+from workloads.views import daily_sales, item_demand, part_demand, raw_text_sales, sale_lines, supplier_lines, table
 
 ship_by_value(sys.modules[__name__])  # for the user-defined model
 
@@ -102,23 +103,6 @@ def sales_daily(spark, sf_dir):
     return daily_sales(spark, sf_dir)
 
 
-def raw_text_sales(spark, sf_dir):
-    """Line items as text under alias headers, in six date styles, with values that do not convert."""
-    number = F.col("l_linenumber")
-    styles = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MMM-yyyy", "MMMM d, yyyy", "yyyyMMdd")
-    text = F.lit("not-a-date")
-    for i, style in enumerate(styles, 1):
-        text = F.when(number == i, F.date_format("l_shipdate", style)).otherwise(text)
-    return table(spark, sf_dir, "lineitem").select(
-        text.alias("Date"),
-        F.concat(F.col("l_suppkey").cast("string"), F.lit(".0")).alias("Store"),
-        F.when(F.col("l_tax") == 0, F.lit("3.5")).otherwise(F.col("l_partkey").cast("string")).alias("item_id"),
-        F.when(F.col("l_discount") == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string")).alias("qty"),
-        "l_orderkey",
-        "l_linenumber",
-    )
-
-
 def coerced_sales(spark, sf_dir):
     df, _ = validate_sales(raw_text_sales(spark, sf_dir))
     return df.fillna({"item": -1})  # rejected items shown as -1: whole numbers compare across engines
@@ -500,7 +484,7 @@ REGISTERED = {
     "abc_classes": abc_classes,
     "abc_counts": abc_counts,
     "abc_value": abc_value,
-}
+} | table_queries.QUERIES | model_queries.QUERIES
 
 
 def build(name: str):
