@@ -22,7 +22,6 @@ SPANS = "array<struct<kind:string,start:int,end:int,value:string,disguised:boole
 
 # ---------------------------------------------------------------- detection
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Possessive runs that begin where a run of digits begins: the same matches, in linear time.
@@ -126,24 +125,24 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.IGNORECASE)
 _GAP = re.compile(r"[\x20,-]{1,2}\Z")
 # Disguises of the signs of an address, one per group of brackets or set off by spaces.
-_AT_MARK = r"\x20?(?:\[\x20?(?:at|@)\x20?\]|\(\x20?(?:at|@)\x20?\)|\{\x20?(?:at|@)\x20?\}|<\x20?(?:at|@)\x20?>)\x20?|\x20@\x20"
-_AT_WORD = r"\x20at\x20|_at_"
-_DOT = r"\x20?(?:\[\x20?(?:dot|\.)\x20?\]|\(\x20?(?:dot|\.)\x20?\)|\{\x20?(?:dot|\.)\x20?\}|<\x20?(?:dot|\.)\x20?>)\x20?|\x20dot\x20|_dot_"
-_SIGN = re.compile(rf"(?P<at>{_AT_MARK}|{_AT_WORD})|(?P<dot>{_DOT})", re.IGNORECASE)
-# "_dot_" is never part of a label: with one way to read a text, a long run of them takes linear time.
-_LABEL = r"(?:[A-Za-z0-9%+-]|_(?!dot_))+?"
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{0,4}}"
-    rf"(?:(?P<at>@|{_AT_MARK})|(?P<word>{_AT_WORD}))[A-Za-z0-9-]+(?P<tail>(?:(?:\.|{_DOT})[A-Za-z0-9-]+){{1,6}})",
-    re.IGNORECASE,
-)
+_BRACKETS = ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"), ("<", ">"))
+_AT_MARK = r"\x20?(?:" + "|".join(rf"{a}\x20?(?:at|@)\x20?{b}" for a, b in _BRACKETS) + r")\x20?|\x20@\x20"
+_DOT = r"\x20?(?:" + "|".join(rf"{a}\x20?(?:dot|\.)\x20?{b}" for a, b in _BRACKETS) + r")\x20?|\x20dot\x20|_dot_"
+# The same read from right to left.
+_DOT_BACK = r"\x20?(?:" + "|".join(rf"{b}\x20?(?:tod|\.)\x20?{a}" for a, b in _BRACKETS) + r")\x20?|\x20tod\x20|_tod_"
+_AT = re.compile(rf"@|{_AT_MARK}|(?P<word>\x20at\x20)|_at_", re.IGNORECASE)
+# What stands on both sides of an "@", of any length. Each text can be read in one way only ("_dot_" is never part of a
+# label) and nothing is given back, so long runs take linear time.
+_LABEL_BACK = r"(?:[A-Za-z0-9%+-]|_(?!tod_))++"
+_LOCAL_BACK = re.compile(rf"{_LABEL_BACK}(?:(?:\.|{_DOT_BACK}){_LABEL_BACK})*+", re.IGNORECASE)
+_DISGUISED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++", re.IGNORECASE)
 _DOTTED_NUMBER = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _DOT_ONLY = re.compile(_DOT, re.IGNORECASE)
 _PLUS = re.compile(r"(?<!\w)plus\x20(?=[0-9])", re.IGNORECASE)
 
 # What a text must hold for a transducer to replace anything: cheap tests, run on every text. Each is implied by its
 # transducer, so that a text that fails them all is its own normalised text.
-_SIGN_HINT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", re.IGNORECASE)
+_SIGN_HINT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|_at_", re.IGNORECASE)
 _LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 else 32 for x in range(256))
 _ASCII_DIGIT_WORDS = frozenset(w.encode() for w in DIGIT_WORDS if w.isascii())
 _OTHER_DIGIT_WORDS = tuple(w for w in DIGIT_WORDS if not w.isascii())
@@ -227,6 +226,24 @@ class Normalised:
         self.starts, self.sources, self.ends = starts or [0], sources or [0], ends or [None]
 
 
+def _address_signs(text: str) -> list[tuple[int, int, str]]:
+    """Disguised signs of the addresses in a text, as edits. " at " as a word counts only before a domain with a
+    disguised dot."""
+    edits: set[tuple[int, int, str]] = set()
+    floor = 0
+    for sign in _AT.finditer(text):
+        start, end = sign.span()
+        domain = _DISGUISED_DOMAIN.match(text, end)
+        if domain and not (sign["word"] and not _DOT_ONLY.search(text, end, domain.end())):
+            local = _LOCAL_BACK.match(text[floor:start][::-1])
+            if local:
+                edits.add((start, end, "@"))
+                dots = (*_DOT_ONLY.finditer(text, start - local.end(), start), *_DOT_ONLY.finditer(text, end, domain.end()))
+                edits.update((d.start(), d.end(), ".") for d in dots)
+        floor = end
+    return sorted(edits)
+
+
 def normalise(text: str) -> Normalised:
     """Glyphs, then spelled digits, then disguised signs."""
     out = Normalised(text)
@@ -245,12 +262,7 @@ def normalise(text: str) -> Normalised:
     for m in _DOTTED_NUMBER.finditer(out.text):
         edits += [(d.start(), d.end(), ".") for d in _DOT_ONLY.finditer(out.text, m.start(), m.end())]
     out.replace(edits)
-    edits = []
-    for m in _ADDRESS.finditer(out.text):
-        if m["word"] and not _DOT_ONLY.search(m["tail"]):
-            continue  # "at" as a word counts only beside a disguised dot
-        edits += [(d.start(), d.end(), "@" if d["at"] else ".") for d in _SIGN.finditer(out.text, m.start(), m.end())]
-    out.replace(edits)
+    out.replace(_address_signs(out.text))
     return out
 
 
