@@ -21,8 +21,10 @@ SYMBOLS = b"#*$%&|<>"
 
 #: A repeat counts from this many words on.
 MIN_REPEAT_WORDS = 5
-#: More than this share of the words inside repeats, or a repeat of more words than this, is rejected.
-MAX_COVERED = 0.45
+#: More than this share of the words inside repeats is rejected, and so is a repeat of more than that share of the
+#: words, or of more words than this.
+MAX_COVERED = 0.2
+MAX_LONGEST = 0.15
 MAX_REPEAT_WORDS = 100
 
 RESULT = (
@@ -170,15 +172,16 @@ def _block(part: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.nd
         np.add.at(steps, at, 1)
         np.add.at(steps, at + longest[at], -1)
         out["repeat_covered"] = _totals(np.cumsum(steps[:-1]) > 0, bounds)
-        np.maximum.at(out["longest_repeat"], text_of[at], longest[at])
 
         index = np.unique(np.concatenate([near, near + 1]))
         places = array[index]
         between = np.zeros(len(index), np.int64)
         between[np.searchsorted(index, near + 1)] = shared
         before = np.where(places > bounds[:-1][text_of[places]], cells[np.maximum(places - 1, 0)], -1)
-        for place, _ in maximal_repeats(places, between, before):
-            out["n_repeats"][text_of[place]] += 1
+        for place, words_ in maximal_repeats(places, between, before):
+            text = text_of[place]
+            out["n_repeats"][text] += 1
+            out["longest_repeat"][text] = max(out["longest_repeat"][text], words_)
     return out
 
 
@@ -200,13 +203,15 @@ def add_quality(
     min_repeat_words: int = MIN_REPEAT_WORDS,
     max_covered: float = MAX_COVERED,
     max_repeat_words: int = MAX_REPEAT_WORDS,
+    max_longest: float = MAX_LONGEST,
 ) -> DataFrame:
     """``docs`` with a struct ``into``: the measures, ``base_failed`` and ``kept``.
 
     Words are runs without ASCII white space. The suffix array of a text's words gives its repeated
     substrings of ``min_repeat_words`` words and more; the union of their spans may cover
-    ``max_covered`` of the words, and none may be longer than ``max_repeat_words``. Texts under 50
-    words, or with more than half of their words in repeated three-word windows, fail beforehand.
+    ``max_covered`` of the words, and none may be longer than ``max_longest`` of them or than
+    ``max_repeat_words``. Texts under 50 words, or with more than half of their words in repeated
+    three-word windows, fail beforehand.
 
     A null or blank text has no words and fails. Rows are judged one by one: repeated ids, null ids
     and further columns do not matter; an existing column ``into`` is replaced. An empty table gives
@@ -215,7 +220,8 @@ def add_quality(
     measure = column_udf(lambda texts: repetition(texts, min_repeat_words), RESULT)
     q = lambda name: F.col(into)[name]
     base_failed = (q("n_words") < 50) | (100 * q("n_repeat_words") > 50 * q("n_words"))
-    repeats_too_much = (q("repeat_covered") > max_covered * q("n_words")) | (q("longest_repeat") > max_repeat_words)
+    too_long = (q("longest_repeat") > max_longest * q("n_words")) | (q("longest_repeat") > max_repeat_words)
+    repeats_too_much = (q("repeat_covered") > max_covered * q("n_words")) | too_long
     return docs.withColumn(into, measure(F.col(text))).withColumn(
         into, F.col(into).withField("base_failed", base_failed).withField("kept", ~base_failed & ~repeats_too_much)
     )
