@@ -19,36 +19,129 @@ ROWS = 2
 #: Template shingles that one pass over the texts looks for; more are looked for in several passes.
 PASS_SHINGLES = 20_000
 
-# Notices by which works are licensed.
+_GPL_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public "
+    "License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+_GPL_OLD_NOTICE = (
+    "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public "
+    "License as published by the Free Software Foundation; {} of the License."
+)
+_GPL_OLD_LATER = _GPL_OLD_NOTICE.removesuffix(".") + ", or (at your option) any later version."
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+_CC_LONG = "This work is licensed under the Creative Commons {} 4.0 International License. To view a copy of this license, visit"
+
+# Notices by which works are licensed, and what in a notice tells it from those of other licenses (phrases
+# apart by "|", of which every shingle has to be there).
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("AGPL-3.0", _GPL_NOTICE.format("Affero ", "3"), "of the GNU Affero General Public License|either version 3 of the License"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "Affero General Public License version 3"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ""),
     (
         "Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at",
+        "the Apache License Version 2.0",
+    ),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0.", "under the Apache License 2.0"),
+    ("Artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.", "of the Artistic License 2.0"),
+    ("BSD-2-Clause", _BSD_START + "THIS SOFTWARE IS PROVIDED BY", "with the distribution this software is provided by"),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        "may be used to endorse or promote products",
+    ),
+    ("BSD-3-Clause", "This project is licensed under the BSD 3-Clause License.", "under the BSD 3-Clause License"),
+    (
+        "BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at",
+        "the Boost Software License, Version 1.0",
+    ),
+    ("CC-BY-4.0", _CC.format("Attribution"), "Commons Attribution 4.0 International License"),
+    ("CC-BY-4.0", _CC_LONG.format("Attribution"), "Commons Attribution 4.0 International License"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", ""),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial"), "Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-4.0", _CC_LONG.format("Attribution-NonCommercial"), "Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ""),
+    ("CC-BY-NC-ND-4.0", _CC.format("Attribution-NonCommercial-NoDerivatives"), "NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", ""),
+    ("CC-BY-NC-SA-4.0", _CC.format("Attribution-NonCommercial-ShareAlike"), "NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ""),
+    ("CC-BY-ND-4.0", _CC.format("Attribution-NoDerivatives"), "Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", ""),
+    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike"), "Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ""),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "related or neighboring rights to this work",
+    ),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal.", "under CC0 1.0 Universal"),
+    (
+        "CDDL-1.0",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the "
+        "\"License\"). You may not use this file except in compliance with the License.",
+        "the Common Development and Distribution License",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at",
+        "the Eclipse Public License 2.0",
     ),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence, Version 1.2.", "European Union Public Licence, Version 1.2"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions", "the EUPL, Version 1.2"),
+    ("GPL-2.0", _GPL_OLD_NOTICE.format("program", "", "version 2"), "Software Foundation; version 2 of the License|of the GNU General Public License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "General Public License, version 2"),
+    ("GPL-2.0-or-later", _GPL_OLD_LATER.format("program", "", "either version 2"), "either version 2 of the License|of the GNU General Public License"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License, version 3"),
+    ("GPL-3.0", _GPL_NOTICE.format("", "3"), "of the GNU General Public License|either version 3 of the License"),
     (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "for any purpose with or without fee",
     ),
-    ("MIT", "Released under the MIT License."),
+    ("ISC", "This project is licensed under the ISC License.", "licensed under the ISC License"),
+    ("LGPL-2.1", _GPL_OLD_LATER.format("library", "Lesser ", "either version 2.1"), "either version 2.1 of the License|the GNU Lesser General Public License"),
+    ("LGPL-3.0", _GPL_NOTICE.format("Lesser ", "3"), "the GNU Lesser General Public License|either version 3 of the License"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "Lesser General Public License, version 3"),
+    ("MIT", "Released under the MIT License.", ""),
+    ("MIT", "Licensed under the MIT License.", ""),
+    ("MIT", "Distributed under the MIT License.", ""),
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction",
+        "to deal in the Software without restriction",
     ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License, v. 2.0"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Open Font License, Version 1.1"),
     (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met",
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software",
+        "unencumbered software released into the public domain",
+    ),
+    (
+        "WTFPL",
+        "This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To "
+        "Public License, Version 2",
+        "Want To Public License, Version 2",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software.",
+        "will the authors be held liable",
     ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
 
@@ -110,7 +203,7 @@ def band_keys(hashes: Column, bands: int, rows: int) -> Column:
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES), "license_id string, template string")
+    return spark.createDataFrame(list(TEMPLATES), "license_id string, template string, telling string")
 
 
 def _windows_around(hit: Column, w: WindowSize) -> Column:
@@ -158,16 +251,21 @@ def _pass(docs: DataFrame, rows: list, size: int, least: float, certainty: float
     found = found.select("doc_id", "digest", "w.*")
     found = found.withColumn("band", F.explode(band_keys(F.col("own_hashes"), bands, ROWS)))
     templates = spark.createDataFrame(
-        [(WindowSize.of(len(r["shingles"])).largest, r["license_id"], r["template_no"], r["hashes"], r["shingles"]) for r in rows],
-        "size int, license_id string, template_no long, t_hashes array<long>, t_shingles array<string>",
+        [
+            (WindowSize.of(len(r["shingles"])).largest, r["license_id"], r["template_no"], r["hashes"], r["shingles"], r["telling"])
+            for r in rows
+        ],
+        "size int, license_id string, template_no long, t_hashes array<long>, t_shingles array<string>, t_telling array<string>",
     )
     keys = templates.withColumn("band", F.explode(band_keys(F.col("t_hashes"), bands, ROWS))).drop("t_hashes")
     # bounded: at most PASS_SHINGLES shingles a pass (or one template), each in ``bands`` rows
     met = found.join(F.broadcast(keys), ["size", "band"]).dropDuplicates(["doc_id", "digest", "size", "first", "template_no"])
-    shared = F.size(F.array_intersect(shingles(F.col("own"), size), "t_shingles"))
+    met = met.withColumn("own_shingles", shingles(F.col("own"), size))
+    shared = F.size(F.array_intersect("own_shingles", "t_shingles"))
+    told = F.size(F.array_except("t_telling", "own_shingles")) == 0
     return met.select(
-        "doc_id", "digest", "license_id", "first", F.size("own").alias("n"), (shared / F.size("t_shingles")).alias("containment")
-    ).where(F.col("containment") >= least)
+        "doc_id", "digest", "license_id", "first", F.size("own").alias("n"), (shared / F.size("t_shingles")).alias("containment"), told.alias("told")
+    ).where((F.col("containment") >= least) & F.col("told")).drop("told")
 
 
 def scan_licenses(
@@ -187,20 +285,26 @@ def scan_licenses(
     ``shingle`` words. Windows overlap so that one of them holds any occurrence whole; bands are as many as make a
     window that holds just enough meet its template with probability ``certainty``.
 
-    templates: rows ``license_id``, ``template``; a license may have several. Templates and texts without words
-    (null, empty) match nothing; a null license is the empty name; texts of fewer words than a shingle are one
+    templates: rows ``license_id``, ``template``; a license may have several. With a column ``telling``, phrases apart
+    by "|", a window has to hold every shingle of them too: notices of related licenses share most of their words, and
+    differ in their names and versions. Templates and texts without words (null, empty) match nothing; a null license is the empty name; texts of fewer words than a shingle are one
     shingle. Rows with the same id and text count once; a null id is kept. Empty tables give an empty one. More
     than ``pass_shingles`` template shingles are sought in several passes over the texts.
     """
     spark = docs.sparkSession
     templates = default_templates(spark) if templates is None else templates
+    telling = F.coalesce("telling", F.lit("")) if "telling" in templates.columns else F.lit("")
+    phrases = F.filter(F.transform(F.split(telling, r"\|"), words_of), lambda w: F.size(w) > 0)
     listed = templates.select(
-        F.coalesce("license_id", F.lit("")).alias("license_id"), words_of(F.col("template")).alias("words")
+        F.coalesce("license_id", F.lit("")).alias("license_id"),
+        words_of(F.col("template")).alias("words"),
+        F.array_distinct(F.flatten(F.transform(phrases, lambda w: shingles(w, shingle)))).alias("telling"),
     ).where(F.size("words") > 0)
     listed = listed.select(
         "license_id",
         F.array_distinct(shingle_hashes(F.col("words"), shingle)).alias("hashes"),
         shingles(F.col("words"), shingle).alias("shingles"),
+        "telling",
     ).distinct()
     base = docs.select(F.col(doc_id).alias("doc_id"), text_digest(text).alias("digest"), F.col(text).alias("text"))
     parts, rows, held = [], [], 0

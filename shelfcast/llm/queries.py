@@ -339,7 +339,9 @@ def _quoted(text: str) -> str:
 def _license_sql() -> str:
     size = licenses.SHINGLE_WORDS
     split = r"[x FOR x IN string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
-    rows = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(licenses.TEMPLATES))
+    rows = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t, _) in enumerate(licenses.TEMPLATES))
+    phrases = [(i, p) for i, (_, _, told) in enumerate(licenses.TEMPLATES) for p in told.split("|") if p]
+    phrases = ", ".join(f"({i}, {_quoted(p)})" for i, p in phrases)
     steps = sorted({n: licenses.WindowSize.of(n) for n in range(1, 200)}.items())
     sizes = ", ".join(f"({n}, {w.largest}, {w.stride}, {w.width})" for n, w in steps)
     cut = (
@@ -348,6 +350,10 @@ def _license_sql() -> str:
     )
     return f"""
 WITH templates(t, license_id, template) AS (VALUES {rows}),
+phrases(t, phrase) AS (VALUES {phrases}),
+pw AS (SELECT t, {split.format("phrase")} AS w FROM phrases),
+ps AS (SELECT DISTINCT t, s, TRUE AS tells FROM ({cut.format(key="t", source="pw", size=size)})),
+pn AS (SELECT t, count(*) AS n_tells FROM ps GROUP BY t),
 window_sizes(n, largest, stride, width) AS (VALUES {sizes}),
 tw AS (SELECT t, license_id, {split.format("template")} AS w FROM templates),
 ts AS (SELECT DISTINCT t, license_id, s FROM ({cut.format(key="t, license_id", source="tw", size=size)})),
@@ -355,17 +361,18 @@ tn AS (SELECT t, count(*) AS n FROM ts GROUP BY t),
 d AS (SELECT doc_id, {split.format("text")} AS w FROM documents),
 ds AS ({cut.format(key="doc_id, len(w) AS words", source="d", size=size)}),
 hits AS (
-  SELECT doc_id, words, i, s, t, license_id, n, largest, stride, width
-  FROM ds JOIN ts USING (s) JOIN tn USING (t) JOIN window_sizes USING (n)
+  SELECT doc_id, words, i, s, t, license_id, n, largest, stride, width, coalesce(tells, FALSE) AS tells, coalesce(n_tells, 0) AS n_tells
+  FROM ds JOIN ts USING (s) JOIN tn USING (t) JOIN window_sizes USING (n) LEFT JOIN ps USING (t, s) LEFT JOIN pn USING (t)
 ),
 met AS (
-  SELECT doc_id, license_id, t, words, n, width, k * stride AS first, count(DISTINCT s) / n AS containment
+  SELECT doc_id, license_id, t, words, n, width, k * stride AS first, count(DISTINCT s) / n AS containment,
+    count(DISTINCT s) FILTER (tells) = any_value(n_tells) AS told
   FROM hits, unnest(range(greatest(0, CAST(ceil((i - (width - 1)) / stride) AS BIGINT)), i // stride + 1)) AS u(k)
   GROUP BY doc_id, license_id, t, words, n, width, k * stride
 )
 SELECT doc_id, license_id, round(max(containment), 6) AS containment, CAST(min(first) AS BIGINT) AS first_word,
   CAST(max(least(first + width + {size - 1}, words)) AS BIGINT) AS last_word, count(*) AS n_windows
-FROM met WHERE containment >= {licenses.MIN_CONTAINMENT} GROUP BY doc_id, license_id
+FROM met WHERE told AND containment >= {licenses.MIN_CONTAINMENT} GROUP BY doc_id, license_id
 """
 
 
