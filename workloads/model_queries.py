@@ -16,7 +16,7 @@ from shelfcast.operators.forecasters import FunctionForecaster, NaiveForecaster,
 from shelfcast.plans.registry import ModelRegistry
 from shelfcast.plans.workflows import clean_and_describe
 from shelfcast.session import shared_folder, ship_by_value
-from workloads.oracles import CLEAN, SALES
+from workloads.oracles import CLEAN, LAST, RECENT, SALES
 from workloads.views import sale_lines
 
 ship_by_value(sys.modules[__name__])  # for the user-defined models
@@ -67,6 +67,15 @@ def user_regression(spark, sf_dir) -> DataFrame:
     return rows.select("horizon", "store", "item", "date", "step", "forecast", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def all_predictions(spark, sf_dir) -> DataFrame:
+    """A week ahead from every model of a registry, in one table."""
+    registry = ModelRegistry()
+    registry.add_model("naive", NaiveForecaster())
+    registry.add_model("recent", FunctionForecaster(recent_level))
+    registry.train_all(cleaned(spark, sf_dir))
+    return registry.predict_all(7, include_history=False).select("model", "store", "item", "date", "step", "forecast")
+
+
 def learn_level(history: pd.DataFrame) -> float:
     if history["sales"].iloc[0] > HIGH_START:
         raise ValueError(f"starts above {HIGH_START}")
@@ -96,6 +105,7 @@ QUERIES = {
     "naive_cv": naive_cv,
     "user_cv": user_cv,
     "user_regression": user_regression,
+    "all_predictions": all_predictions,
     "fit_report": fit_report,
 }
 
@@ -135,6 +145,15 @@ ORACLES = {
         SELECT horizon, store, item, CAST(date AS VARCHAR) AS date, CAST(step AS INTEGER) AS step,
                round(level + slope * CAST(isodow(planned.date) >= 6 AS INTEGER), 6) AS forecast, '' AS error
         FROM planned""",
+    "all_predictions": f"""
+        WITH {SALES}{CLEAN}{LAST}{RECENT},
+        levels AS (
+          SELECT 'naive' AS model, store, item, last_date, last_value AS forecast FROM last_rows
+          UNION ALL
+          SELECT 'recent', store, item, last_date, level FROM recent)
+        SELECT model, store, item, CAST(last_date + CAST(step AS INTEGER) AS VARCHAR) AS date, CAST(step AS INTEGER) AS step,
+               round(forecast, 6) AS forecast
+        FROM levels, unnest(range(1, 8)) AS t(step)""",
     "fit_report": f"""
         WITH {SALES}{CLEAN},
         firsts AS (SELECT store, item, arg_min(sales, date) > {HIGH_START} AS high FROM clean GROUP BY store, item),

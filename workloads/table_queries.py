@@ -7,17 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from shelfcast.operators.abc import classify_items, ranked_items
 from shelfcast.operators.clean import clean_sales
 from shelfcast.operators.forecasters import NaiveForecaster
 from shelfcast.operators.holidays import add_holidays, history_and_future
 from shelfcast.operators.observed import observed_counts
+from shelfcast.operators.running_total import running_total
 from shelfcast.operators.sketches import monthly_sketches, rank_error, sketched_fence
 from shelfcast.session import shared_folder
 from shelfcast.sources.quarantine import scan_sales, write_quarantine
-from shelfcast.sources.sales import validate_sales
-from shelfcast.sources.sinks import read_partitions, replace_partitions, write_series_table
-from workloads.oracles import AHEAD, CLEAN, LAST, SALES
-from workloads.views import daily_sales, raw_text_sales, sale_lines, table
+from shelfcast.sources.sales import read_sales, validate_sales
+from shelfcast.sources.sinks import read_partitions, replace_partitions, write_csv, write_series_table
+from workloads.oracles import ABC, AHEAD, CLEAN, LAST, SALES
+from workloads.views import daily_sales, part_demand, raw_text_sales, sale_lines, table
 
 #: The store whose partition is written anew.
 REWRITTEN_STORE = 3
@@ -65,6 +67,22 @@ def csv_quarantine(spark, sf_dir) -> DataFrame:
     )
 
 
+def csv_round_trip(spark, sf_dir) -> DataFrame:
+    """Daily sales written as CSV and read back with their types, summed up per series."""
+    folder = shared_folder(spark, "csv")
+    write_csv(daily_sales(spark, sf_dir), folder)
+    return read_sales(spark, folder).groupBy("store", "item").agg(
+        F.count("*").alias("n_rows"), F.sum("sales").alias("total_sales"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+def items_by_value(spark, sf_dir) -> DataFrame:
+    """Items with their place in the order of annual value, ties by id."""
+    ranked = ranked_items(classify_items(part_demand(spark, sf_dir)))
+    numbered = running_total(ranked.withColumn("one", F.lit(1)), [F.desc("annual_value"), F.col("item_id")], "one")
+    return numbered.select("item_id", "annual_value", F.col("running_total").alias("place"))
+
+
 def bucketed_clean(spark, sf_dir) -> DataFrame:
     """Cleaning of a table that is bucketed by series, per series; nothing is shuffled after the table is written."""
     name = f"sales_{uuid.uuid4().hex}"
@@ -173,6 +191,8 @@ def history_with_future(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "csv_quarantine": csv_quarantine,
+    "csv_round_trip": csv_round_trip,
+    "items_by_value": items_by_value,
     "bucketed_clean": bucketed_clean,
     "clean_months": clean_months,
     "clean_counts": clean_counts,
@@ -226,6 +246,16 @@ SELECT step, metric, CAST(value AS BIGINT) AS value FROM (
 
 ORACLES = {
     "csv_quarantine": _QUARANTINE_SQL,
+    "csv_round_trip": f"""
+        WITH {SALES}
+        SELECT store, item, count(*) AS n_rows, sum(sales) AS total_sales, CAST(min(date) AS VARCHAR) AS first_date,
+               CAST(max(date) AS VARCHAR) AS last_date
+        FROM sales GROUP BY store, item""",
+    "items_by_value": f"""
+        WITH {ABC}
+        SELECT item_id, round(annual_value, 6) AS annual_value,
+               row_number() OVER (ORDER BY annual_value DESC, item_id) AS place
+        FROM classified""",
     "bucketed_clean": f"""
         WITH {SALES}{CLEAN}
         SELECT store, item, count(*) AS n_days, round(sum(sales), 6) AS total_sales, round(max(sales), 6) AS max_sales
