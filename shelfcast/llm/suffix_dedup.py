@@ -41,6 +41,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _by_row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``row`` (id and digest as a struct, in which null ids are equal) and ``text``: the same for every join with texts,
+    so that one exchange serves them all."""
+    return _keyed(docs, doc_id, text).select(F.struct("doc_id", "digest").alias("row"), "text")
+
+
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows doc_id, digest, at, lead (bytes from the first window's begin to the anchor), spread (windows less one),
     gram, stretch."""
@@ -71,14 +77,18 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _cut(length: int):
-    """Bytes of the wanted stretches of each document."""
+    """Bytes of the wanted stretches of each document; copies of a row come one after the other and are cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_row = None
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             raw, wants = data.tobytes(), batch.column("wants")
             for i in range(batch.num_rows):
-                own = wants.slice(i, 1).flatten()
+                row = batch.column("row")[i].as_py()
+                if row == last_row:  # a copy of the row before it
+                    continue
+                last_row, own = row, wants.slice(i, 1).flatten()
                 first = (own.field("at").to_numpy() - own.field("lead").to_numpy() + offsets[i]).tolist()
                 last = (np.array(first) + own.field("spread").to_numpy() + length).tolist()
                 names = [*_STRETCH, "n", "kinds"]
@@ -103,7 +113,8 @@ _FOUND_SQL = "gram bigint, stretch bigint, lead int, spread int, begins array<st
 
 
 def _sort_blocks(length: int, size: int):
-    """Repeated windows of the stretches of whole anchors, about ``size`` bytes at a time; rows come by anchor."""
+    """Repeated windows of the stretches of whole anchors, about ``size`` bytes at a time; rows come by anchor and
+    stretch. A stretch that comes twice was cut from two copies of a row, and counts once."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
         found = repeated_begins([np.frombuffer(r["bytes"], np.uint8) for r in rows], length)
@@ -114,9 +125,13 @@ def _sort_blocks(length: int, size: int):
         return pa.RecordBatch.from_pylist(out, _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bytes_held = [], 0
+        held, bytes_held, last = [], 0, None
         for batch in batches:
             for row in batch.to_pylist():
+                own = tuple(row[k] for k in _STRETCH)
+                if own == last:
+                    continue
+                last = own
                 if bytes_held >= size and row["gram"] != held[-1]["gram"]:
                     yield solve(held)
                     held, bytes_held = [], 0
@@ -151,13 +166,6 @@ def _single_windows(length: int):
     return run
 
 
-def _same_document(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Join of rows by document, null ids included; keeps a's columns doc_id and digest."""
-    b = b.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    # merged at every size: what is wanted of the documents grows with them, so it is never broadcast
-    return a.join(b.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), how).drop("_id", "_digest")
-
-
 def repeated_spans(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -173,8 +181,8 @@ def repeated_spans(
     Ranges may overlap and come in any order. Documents without any have no row; rows with the same id and text share
     one, and repeat each other. Null texts are empty.
     """
-    base = _keyed(docs, doc_id, text)
-    rows = _anchor_rows(base, length, gram)
+    base = _by_row(docs, doc_id, text)
+    rows = _anchor_rows(_keyed(docs, doc_id, text), length, gram)
     repeated = rows.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
     # written first: between two plain exchanges the join can deal out a frequent anchor's rows over many tasks
     candidates = written(rows.join(written(repeated), "gram"))
@@ -189,18 +197,18 @@ def repeated_spans(
         F.struct(*_STRETCH, "n", "kinds", F.col("place.at").alias("at")).alias("want"),
     )
     by_row = wanted.groupBy("row").agg(F.collect_list("want").alias("wants"))
-    # copies of a row become one before they move, so that each different stretch is cut once; as a struct, null ids
-    # are equal and one exchange serves the grouping and the join
-    once = base.groupBy(F.struct("doc_id", "digest").alias("row")).agg(F.first("text").alias("text"))
+    # merged by row, so that copies of a row are neighbours and are cut once; where a hot row is dealt to several tasks,
+    # what is cut again is left out before it is sorted or counted
     schema = "gram bigint, stretch bigint, lead int, spread int, n bigint, kinds bigint, bytes binary"
-    fetched = once.join(by_row.hint("merge"), "row").select("text", "wants").mapInArrow(_cut(length), schema)
+    fetched = base.join(by_row.hint("merge"), "row").select("row", "text", "wants").mapInArrow(_cut(length), schema)
     hot = grams.where(F.col("kinds") > stretches).limit(1).count() > 0
     # not written in between: within one job all uses share one shuffle of the texts
-    ordered = fetched.where(F.col("kinds") <= stretches).repartition("gram").sortWithinPartitions("gram")
+    ordered = fetched.where(F.col("kinds") <= stretches).repartition("gram").sortWithinPartitions(*_STRETCH)
     found = ordered.mapInArrow(_sort_blocks(length, sort_bytes), _FOUND_SQL)
     if hot:
         schema = "gram bigint, stretch bigint, lead int, spread int, n bigint, begin int, ahead int, window bigint"
-        windows = fetched.where(F.col("kinds") > stretches).mapInArrow(_single_windows(length), schema)
+        many = fetched.where(F.col("kinds") > stretches).dropDuplicates(_STRETCH)
+        windows = many.mapInArrow(_single_windows(length), schema)
         same = ["gram", "ahead", "window"]
         often = windows.groupBy(*same).agg(F.sum("n").alias("_n")).where("_n > 1").select(*same)
         single = windows.where("n = 1").join(often, same).select(*_STRETCH, "begin")
@@ -259,10 +267,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             names = ["doc_id", "n_bytes", "removed", "kept", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
-    base = _keyed(docs, doc_id, text)
-    spans = repeated_spans(docs, doc_id, text, **options)
-    joined = _same_document(base, spans, "left").select("doc_id", "text", "windows")
-    kind = base.schema["doc_id"].dataType.simpleString()
+    base = _by_row(docs, doc_id, text)
+    spans = repeated_spans(docs, doc_id, text, **options).select(F.struct("doc_id", "digest").alias("row"), "windows")
+    # merged at every size: what is wanted of the documents grows with them, so it is never broadcast
+    joined = base.join(spans.hint("merge"), "row", "left").select("row.doc_id", "text", "windows")
+    kind = docs.schema[doc_id].dataType.simpleString()
     schema = (
         f"doc_id {kind}, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string"
     )
