@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast import session
 from shelfcast.session import ship_by_value
 
 ship_by_value(sys.modules[__name__])
@@ -59,15 +58,9 @@ def column_udf(function: Callable[[pa.Array], pa.Array], returns: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the session's ``spark.checkpoint.dir``; only a local master, where driver
-    and executors are one machine, falls back to a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="shelfcast-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder name under the session's ``spark.checkpoint.dir``. What is written there stays until the owner of
+    that folder removes it."""
+    return session.shared_folder(spark, "llm")
 
 
 def written(df: DataFrame) -> DataFrame:

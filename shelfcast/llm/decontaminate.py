@@ -218,7 +218,11 @@ def add_benchmark_hits(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with the columns they had."""
+    """The rows of ``docs`` that are not contaminated, with the columns they had, of any names.
+
+    Rows are judged one by one, so repeated rows and ids, null ids too, stay or go alike. A null, empty or wordless
+    text holds no window and stays. An empty table, or an empty benchmark, removes nothing. Texts are searched whole.
+    """
     into = unused_name(docs, "_hits")
     found = add_benchmark_hits(docs, benchmark, into=into, **options)
     return found.where(~F.col(into)["contaminated"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -228,6 +228,10 @@ def add_quality(
 
 
 def kept_by_quality(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns they had."""
+    """The rows of ``docs`` that the rules keep, with the columns they had, of any names.
+
+    Rows are judged one by one, so repeated rows and ids, null ids too, stay or go alike; null, empty and blank texts
+    have no words and go. An empty table gives an empty one. Texts are judged whole.
+    """
     into = unused_name(docs, "_quality")
     return add_quality(docs, into=into, **options).where(F.col(into)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -240,7 +240,12 @@ def masked(texts: pa.Array, spans: pa.Array, mark: Callable[[str], str]) -> pa.A
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``[SECRET:kind]``; all rows and columns stay."""
+    """``docs`` with every secret in ``text`` replaced by ``[SECRET:kind]``; all rows and columns stay.
+
+    Spans that overlap become one mark, of the kind of the first one (of the same begin, the first of ``rules``). Rows
+    are handled one by one, repeated ones alike; null stays null, and a text without secrets as it is. An empty table
+    gives an empty one. Texts are searched whole.
+    """
 
     scanner = SecretScan(rules)
 
