@@ -31,8 +31,8 @@ def warc_record(record_id: Column, uri: Column, payload: Column) -> Column:
 
 def archive_records(pages: DataFrame, record_id: Column, uri: Column, payload: Column, archive: Column) -> DataFrame:
     """Rows ``archive``, ``record_id``, ``offset``, ``length``, ``digest`` (SHA-256) of the records as they follow
-    each other in their archives, by id and then digest. ``archive`` must bound the rows of one archive (the
-    caller's choice, as for files); bodies are hashed before anything is moved."""
+    each other in their archives, by id and then digest. Bodies are hashed before anything is moved. Offsets are
+    summed up in two steps, over ranges of records and within them, so an archive may have any number of rows."""
     record = warc_record(record_id, uri, payload)
     rows = pages.select(
         archive.alias("archive"),
@@ -40,9 +40,19 @@ def archive_records(pages: DataFrame, record_id: Column, uri: Column, payload: C
         F.octet_length(record).cast("bigint").alias("length"),
         F.sha2(record, 256).alias("digest"),
     )
-    before = Window.partitionBy("archive").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
-    return rows.select("archive", "record_id", offset, "length", "digest")
+    order = ["record_id", "digest", "row"]  # equal records are alike, but numbered so that they can be dealt out
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(tasks, "archive", *order)
+    ranged = written(ranged.withColumn("part", F.spark_partition_id()))
+    upto = Window.partitionBy("archive").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("archive", "part").agg(F.sum("length").alias("bytes"))
+    starts = sums.select(
+        F.struct("archive", "part").alias("range"), F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias("start")
+    )
+    before = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("range", F.struct("archive", "part")).join(starts.hint("merge"), "range")
+    offset = (F.col("start") + F.coalesce(F.sum("length").over(before), F.lit(0))).alias("offset")
+    return placed.select("archive", "record_id", offset, "length", "digest")
 
 
 def _parents(children: DataFrame, number: Column) -> DataFrame:
