@@ -19,22 +19,23 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, empty and blank texts among them. Repeated rows are judged alike."""
     return kept_by_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group within four bits stays: the one with the smallest id."""
+    """One document of each group within four bits stays: the one with the smallest id, null ids last. Repeated rows
+    leave one; texts without words are one group."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go. Texts without words stay."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by marks; all documents stay, and ``n_chars`` follows the text."""
+    """Secrets are replaced by marks; all documents stay, and ``n_chars`` follows the text (of a null text it stays)."""
     redacted = redact_secrets(docs)
     if "n_chars" not in docs.columns:
         return redacted
@@ -43,7 +44,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; null and empty texts are the end id alone, repeated rows
+    are packed once each, and an empty table gives an empty one."""
     return pack_documents(docs, TOKENIZER).drop("digest")
 
 

@@ -231,7 +231,12 @@ def add_components(
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each component, with the columns it had: the one with the smallest id (of equal ids
-    one with the smallest digest of its text; ids before null). Further columns may have any names."""
+    one with the smallest digest of its text; ids before null). Further columns may have any names.
+
+    Null, empty and blank texts have no words, share fingerprint zero, and leave one row. Of rows with the same id and
+    text any one stays: they are told apart by no column of the rules. A text's digest has 64 bits; two texts of one
+    id whose digests collide would count as one. An empty table gives an empty one. Texts are read whole.
+    """
     found = add_components(docs, doc_id, text, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     chosen = found.groupBy("component").agg(first)
@@ -239,6 +244,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("\0null"))
     chosen = chosen.select(key("first.doc_id").alias(own_id), F.col("first.digest").alias(own_digest))
     keyed = docs.withColumns({own_id: key(f"`{doc_id}`"), own_digest: text_digest(text)})
-    # plain equality on the columns that repeated rows are dropped by: one shuffle of the texts serves both
-    kept = keyed.join(chosen, [own_id, own_digest], "left_semi").dropDuplicates([own_id, own_digest])
+    # copies of a row become one in each task before texts move; the join has the same keys and needs no other shuffle
+    # (an inner one, of which a row has one partner at most: a semi-join would be moved in front of the choice)
+    kept = keyed.dropDuplicates([own_id, own_digest]).join(chosen, [own_id, own_digest])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
