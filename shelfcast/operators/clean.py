@@ -38,8 +38,9 @@ def clean_sales(
 
     Plan: one shuffle by series key (plus a pre-aggregation by day for "sum" and "distinct", which
     also takes the weight out of hot series). A series has one row per calendar day at most, which
-    bounds every window partition. Only observed rows are sorted; each row then spans the days up to
-    the next one.
+    bounds every window partition. Only observed rows are sorted; each spans the days up to the next
+    one, and the spans of a series become one array of daily values, from which the quartiles are
+    taken and the days are listed. No day is sorted or held as a row of its own.
     """
     if on_duplicate not in DUPLICATE_RULES:
         raise ValueError(f"on_duplicate must be one of {DUPLICATE_RULES}, got {on_duplicate!r}")
@@ -48,13 +49,16 @@ def clean_sales(
     keys = list(keys)
     require_columns(df, ["date", *keys, "sales"])
 
-    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate, placed, observation), keys, on_leading_null)
-
-    quartile = F.percentile_approx if approx_quantiles else F.percentile
-    q = quartile("sales", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*keys))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    fenced = filled.withColumn("_q", q).withColumn("fence", q3 + 1.5 * (q3 - q1))
-    capped = fenced.withColumn("sales", F.least("sales", "fence")).drop("_q")
+    rows = _one_row_per_day(df, keys, on_duplicate, placed, observation)
+    filled = _filled_series(rows, keys, on_leading_null)
+    if approx_quantiles:
+        quartiles = F.percentile_approx("sales", F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*keys))
+        days = _days(filled, keys).withColumn("_q", quartiles)
+        days = days.withColumn("fence", _fence(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    else:
+        fenced = _with_quartiles(filled).withColumn("fence", _fence(F.col("q1"), F.col("q3")))
+        days = _days(fenced, keys, "fence")
+    capped = days.select(*keys, "date", F.least("sales", "fence").alias("sales"), "fence")
     return capped if with_fence else capped.drop("fence")
 
 
@@ -63,12 +67,13 @@ def outlier_fence(
 ) -> DataFrame:
     """Q1, Q3, interquartile range and upper fence per series, over the filled daily values."""
     keys = list(keys)
-    filled = _fill_days(_one_row_per_day(df, keys, on_duplicate, placed), keys, on_leading_null)
-    q = filled.groupBy(*keys).agg(F.percentile("sales", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    return q.select(
-        *keys, q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), (q3 + 1.5 * (q3 - q1)).alias("fence")
-    )
+    q = _with_quartiles(_filled_series(_one_row_per_day(df, keys, on_duplicate, placed), keys, on_leading_null))
+    q1, q3 = F.col("q1"), F.col("q3")
+    return q.select(*keys, q1, q3, (q3 - q1).alias("iqr"), _fence(q1, q3).alias("fence"))
+
+
+def _fence(q1, q3):
+    return q3 + 1.5 * (q3 - q1)
 
 
 def _one_row_per_day(df, keys, on_duplicate, placed, observation=None):
@@ -92,7 +97,8 @@ def _one_row_per_day(df, keys, on_duplicate, placed, observation=None):
     return rows.repartition(series_partitions(df.sparkSession), *keys)
 
 
-def _fill_days(rows, keys, on_leading_null):
+def _filled_series(rows, keys, on_leading_null):
+    """One row per series: keys, ``start`` (its first date) and ``filled`` (its values, one per calendar day)."""
     series = Window.partitionBy(*keys).orderBy("date")
     so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY date)"
@@ -109,20 +115,57 @@ def _fill_days(rows, keys, on_leading_null):
     )
 
     repeated = F.raise_error(F.concat(F.lit("more than one row for a series on "), F.col("date").cast("string")))
-    last_day = (
-        F.when(F.col("until") == F.col("date"), repeated.cast("date"))
-        .when(F.col("until").isNull(), F.col("date"))
-        .otherwise(F.date_sub("until", 1))
+    n_days = (
+        F.when(F.col("until") == F.col("date"), repeated.cast("int"))
+        .when(F.col("until").isNull(), F.lit(1))
+        .otherwise(F.datediff("until", "date"))
     )
-    days = spans.select(*keys, "left", "right", F.explode(F.sequence("date", last_day)).alias("date"))
-
-    left, right = F.col("left.value"), F.col("right.value")
-    offset = F.datediff("date", "left.date")
-    gap = F.datediff("right.date", "left.date")
-    sales = F.when(F.col("right").isNull(), left).otherwise(left + (right - left) * offset / gap)
+    base = F.col("left.value")
     if on_leading_null == "drop":
-        days = days.where(F.col("left").isNotNull())
+        spans = spans.where(F.col("left").isNotNull())
     else:
         missing = F.raise_error(F.concat(F.lit("a series has no value yet on "), F.col("date").cast("string")))
-        sales = F.when(F.col("left").isNull(), missing.cast("double")).otherwise(sales)
-    return days.select(*keys, "date", sales.alias("sales"))
+        base = F.when(F.col("left").isNull(), missing.cast("double")).otherwise(base)
+    span = F.struct(
+        "date",
+        n_days.alias("n_days"),
+        base.alias("base"),
+        (F.col("right.value") - F.col("left.value")).alias("rise"),  # null: nothing known after it
+        F.datediff("date", "left.date").alias("offset"),
+        F.datediff("right.date", "left.date").alias("gap"),
+    )
+
+    def daily(s):
+        def on(offset):
+            return s["base"] + s["rise"] * offset / s["gap"]
+
+        return (
+            F.when(s["rise"].isNull(), F.array_repeat(s["base"], s["n_days"]))
+            .when(s["n_days"] == 1, F.array(on(s["offset"])))
+            .otherwise(F.transform(F.sequence(s["offset"], s["offset"] + s["n_days"] - 1), on))
+        )
+
+    # The spans are collected, not their days, so that what is aggregated grows with the observed rows.
+    found = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    start = F.col("spans")[0]["date"].alias("start")
+    return found.select(*keys, start, F.flatten(F.transform("spans", daily)).alias("filled"))
+
+
+def _with_quartiles(filled):
+    """Adds ``q1`` and ``q3`` of ``filled``, interpolated between two neighbours as by ``percentile``."""
+    ranked = filled.withColumn("_ranked", F.sort_array("filled"))
+
+    def quantile(q):
+        rank = (F.size("filled") - 1) * F.lit(q)
+        low, high = F.floor(rank), F.ceil(rank)
+        below, above = F.get("_ranked", low.cast("int")), F.get("_ranked", high.cast("int"))
+        return F.when(below == above, below).otherwise((high - rank) * below + (rank - low) * above)
+
+    return ranked.withColumns({"q1": quantile(0.25), "q3": quantile(0.75)}).drop("_ranked")
+
+
+def _days(filled, keys, *carried):
+    """The values of each series as one row per day, with ``date`` and ``sales``."""
+    # No array is empty. "Outer" says so to the optimizer, which else makes each array once more to filter by its size.
+    days = filled.select(*keys, *carried, "start", F.posexplode_outer("filled").alias("_day", "sales"))
+    return days.select(*keys, F.date_add("start", F.col("_day")).alias("date"), "sales", *carried)

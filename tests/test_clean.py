@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shelfcast.operators.clean import clean_sales, outlier_fence
+from shelfcast.operators.split import last_observation
 from shelfcast.plans.workflows import clean_and_describe
 
 
@@ -94,6 +96,27 @@ def test_plan_has_one_shuffle_by_key_and_no_join(make_series):
     assert "Join" not in plan and "Python" not in plan
 
 
+def test_no_day_is_sorted_or_held_in_a_window(make_series):
+    for df in (clean_sales(make_series({1: [1, 2]})), last_observation(clean_sales(make_series({1: [1, 2]})))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        listed = plan.index("Generate posexplode")  # operators after it are printed above it
+        assert "Window" not in plan[:listed] and "Sort " not in plan[:listed]
+        assert plan.count("Window [") == 1 and plan.count("flatten(") == 1
+
+
+def test_quartiles_are_those_of_percentile(make_series):
+    random = np.random.default_rng(11)
+    df = make_series({n: np.round(random.gamma(2, 20, n), 3).tolist() for n in range(1, 30)})
+    quartiles = F.percentile("sales", F.array(F.lit(0.25), F.lit(0.75)))
+    wanted = {r["item"]: r["q"] for r in df.groupBy("item").agg(quartiles.alias("q")).collect()}
+    assert {r["item"]: [r["q1"], r["q3"]] for r in outlier_fence(df).collect()} == wanted
+
+
+def test_approximate_quartiles(make_series, values_by_day):
+    df = make_series({1: [10, 11, 10, 12, 10, 1000]})
+    assert values_by_day(clean_sales(df, approx_quantiles=True))[1] == [10, 11, 10, 12, 10, 15.0]
+
+
 def test_hot_days_are_summed_before_the_shuffle(make_series):
     plan = clean_sales(make_series({1: [1, 2]}), on_duplicate="sum")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
